@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["scoring"]
+MODULES = ["scoring", "annotations"]
 
 
 def _modules() -> list:
