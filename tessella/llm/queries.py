@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import components, group_split, mixing, overlap, plain_form, setjoin, spans, tokenize
+from tessella.llm import components, group_split, mixing, overlap, plain_form, setjoin, spans, subjects, tokenize
 from tessella.llm.units import distinct_units
 from tessella.functions.keys import plain_key
 from tessella.sources.tables import table
@@ -97,6 +97,24 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
+def _subject_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, t) for t in ("documents", "subject_labels", "subjects")]
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.document_subjects(*_subject_tables(spark, folder))
+
+
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subject_shares(*_subject_tables(spark, folder))
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by area, and the area's share of the corpus with each document counting as one."""
+    s = p10_shares(spark, folder)
+    return s.groupBy("subject").agg(F.count_if(F.col("share") >= subjects.LEAST).alias("documents"), F.round(F.sum("share"), 6).alias("document_equivalents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
