@@ -64,3 +64,73 @@ def edit_confusion(old: DataFrame, new: DataFrame, gold: DataFrame, key: list[st
     k = flag(old, 1, 0, 0).unionByName(flag(new, 0, 1, 0)).unionByName(flag(gold, 0, 0, 1)).groupBy(*key).agg(F.max("o").alias("o"), F.max("n").alias("n"), F.max("g").alias("g"))
     is_ = lambda o, n, g: F.count_if((F.col("o") == o) & (F.col("n") == n) & (F.col("g") == g))
     return k.groupBy(*by).agg(is_(0, 1, 1).alias("correct_added"), is_(0, 1, 0).alias("wrong_added"), is_(1, 0, 1).alias("correct_deleted"), is_(1, 0, 0).alias("wrong_deleted"))
+
+
+def pooled_sets(counts: DataFrame, sets: list[list[str]], columns: list[str]) -> DataFrame:
+    """Counts pooled over several grouping sets in one pass; a column outside a set is null there, and ``level`` tells the sets apart."""
+    out = counts.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns])
+    return out.agg(F.grouping_id().cast("long").alias("level"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+
+
+def sweep_counts(df: DataFrame, by: list[str], score: Column, thresholds: list[float], gold: Column) -> DataFrame:
+    """tp, fp, fn at every threshold (predicted where ``score >= t``) in one pass over the rows.
+
+    Rows are aggregated by the highest threshold they reach, at most one row per group and threshold; running sums
+    from the top down give the counts. Null scores are below every threshold.
+    """
+    ts = sorted(thresholds)
+    reached = F.lit(0)
+    for i, t in enumerate(ts):
+        reached = F.when(score >= F.lit(t), F.lit(i + 1)).otherwise(reached)
+    reached = F.coalesce(reached, F.lit(0))
+    cells = df.groupBy(*by, reached.alias("_r")).agg(F.count_if(gold).alias("g"), F.count_if(~F.coalesce(gold, F.lit(False))).alias("w"))
+    grid = cells.withColumn("_t", F.explode(F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(ts)])))
+    hit = F.col("_r") >= F.col("_t.i")
+    return grid.groupBy(*by, F.col("_t.t").alias("threshold")).agg(F.sum(F.when(hit, F.col("g")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("w")).otherwise(0)).alias("fp"), F.sum(F.when(hit, F.lit(0)).otherwise(F.col("g"))).alias("fn"))
+
+
+def root_graphs(edges: DataFrame, root: list[str], tail: list[str], graph: str = "graph") -> DataFrame:
+    """One row per root with its set of tails, sorted: two roots are equal graphs if the sets are equal."""
+    return edges.groupBy(*root).agg(F.array_sort(F.collect_set(F.struct(*tail))).alias(graph))
+
+
+def reversed_closure(edges: DataFrame, head: str, tail: str, keep: list[str]) -> DataFrame:
+    """Edges with their reversals, distinct."""
+    back = edges.select(*keep, F.col(tail).alias(head), F.col(head).alias(tail))
+    return edges.select(*keep, head, tail).unionByName(back).distinct()
+
+
+def symmetry_ceiling(gold: DataFrame, head: str, tail: str, label: list[str]) -> DataFrame:
+    """Best counts a direction-blind predictor can reach on distinct directed edges.
+
+    It must take an unordered pair whole or not at all. A pair whose reverse is missing from gold brings one hit and one
+    false positive; taking all pairs is optimal for F1 as 2tp/(2tp+fp+fn) only grows by it. Self-loops bring a hit only.
+    """
+    e = gold.select(*label, head, tail).distinct()
+    pair = e.groupBy(*label, F.least(head, tail).alias("lo"), F.greatest(head, tail).alias("hi")).agg(F.count("*").alias("n"))
+    one_way = (F.col("n") == 1) & (F.col("lo") != F.col("hi"))
+    return pair.agg(F.sum("n").alias("tp"), F.count_if(one_way).alias("fp"), F.lit(0).cast("long").alias("fn"), F.count_if(one_way).alias("missing_reverse"))
+
+
+def conditional_binding(pred: DataFrame, gold: DataFrame, core: list[str], rest: list[str]) -> DataFrame:
+    """Of the distinct predictions whose core is right, how many bind the rest right as well."""
+    p, g = pred.select(*core, *rest).distinct(), gold.select(*core, *rest).distinct()
+    right = p.join(g.select(*core).distinct(), core, "left_semi").withColumn("_p", F.lit(1)).select(*core, *rest, "_p", F.lit(0).alias("_g"))
+    marked = right.unionByName(g.select(*core, *rest, F.lit(0).alias("_p"), F.lit(1).alias("_g"))).groupBy(*core, *rest).agg(F.max("_p").alias("p"), F.max("_g").alias("g"))
+    return marked.agg(F.count_if(F.col("p") == 1).alias("core_correct"), F.count_if((F.col("p") == 1) & (F.col("g") == 1)).alias("bound"))
+
+
+def with_uncovered(counts: DataFrame, gold: DataFrame, covered: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """Full-document sensitivity: gold records no window covers are added to fn."""
+    missed = gold.join(covered.select(*key).distinct(), key, "left_anti").groupBy(*by).agg(F.count("*").alias("_u"))
+    out = counts.join(missed, by, "left").withColumn("uncovered", F.coalesce("_u", F.lit(0))).drop("_u")
+    return out.withColumn("fn", F.col("fn") + F.col("uncovered"))
+
+
+def oracle_ceiling(old: DataFrame, pool: DataFrame, gold: DataFrame, key: list[str], operation: str = "operation") -> DataFrame:
+    """Counts of the best graph an edit pool allows: right additions and wrong deletions applied, no others."""
+    flag = lambda df, n: df.select(*key, F.lit(n).alias("_f"))
+    marks = flag(old, "old").unionByName(flag(gold, "gold")).unionByName(pool.select(*key, F.col(operation).alias("_f")))
+    m = marks.groupBy(*key).agg(*[F.max((F.col("_f") == f).cast("int")).alias(f) for f in ("old", "gold", "add", "delete")])
+    m = m.withColumn("keep", F.when(F.col("gold") == 1, F.col("old") + F.col("add") > 0).otherwise((F.col("old") == 1) & (F.col("delete") == 0)))
+    return m.agg(F.count_if(F.col("keep") & (F.col("gold") == 1)).alias("tp"), F.count_if(F.col("keep") & (F.col("gold") == 0)).alias("fp"), F.count_if(~F.col("keep") & (F.col("gold") == 1)).alias("fn"))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["scoring", "annotations"]
+MODULES = ["scoring", "annotations", "inference"]
 
 
 def _modules() -> list:
