@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["scoring", "annotations", "inference"]
+MODULES = ["scoring", "annotations", "inference", "texts", "provenance"]
 
 
 def _modules() -> list:
