@@ -275,7 +275,7 @@ def ticket_targets(rows: DataFrame, key: list[str], records: DataFrame, doc: str
 
 def lossless(df: DataFrame, raw: str, key: list[str]) -> DataFrame:
     """Records as one JSON line each, the bytes in base64; null bytes stay null."""
-    return df.select(*key, F.to_json(F.struct(*key, F.base64(F.col(raw)).alias("raw_base64"))).alias("json"))
+    return df.select(*key, F.to_json(F.struct(*key, F.regexp_replace(F.base64(F.col(raw)), "[\r\n]", "").alias("raw_base64"))).alias("json"))
 
 
 def restored(df: DataFrame, json_col: str = "json") -> DataFrame:

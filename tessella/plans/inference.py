@@ -11,12 +11,12 @@ from tessella.sources.tables import table
 
 #: Draws of the hash-derived streams.
 DRAWS, RESAMPLES = 4000, 2000
-_ARM = {"a": F.col("l_discount") >= 0.05, "b": F.col("l_quantity") >= 30}
+_ARM = {"a": "l_discount >= 0.05", "b": "l_quantity >= 30"}
 
 
 def _pairs(rows: DataFrame, cluster: str) -> DataFrame:
     gold = F.col("l_returnflag") == "R"
-    agg = [F.count_if(c).alias(f"{n}_{arm}") for arm, p in _ARM.items() for n, c in (("tp", p & gold), ("fp", p & ~gold), ("fn", ~p & gold))]
+    agg = [F.count_if(c).alias(f"{n}_{arm}") for arm, p in ((a, F.expr(e)) for a, e in _ARM.items()) for n, c in (("tp", p & gold), ("fp", p & ~gold), ("fn", ~p & gold))]
     return rows.groupBy(cluster).agg(*agg)
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import score
 from tessella.sources.tables import table
 
-PRED, GOLD = F.col("l_discount") >= 0.05, F.col("l_returnflag") == "R"
+
+def _pred() -> Column:
+    return F.col("l_discount") >= 0.05
+
+
+def _gold() -> Column:
+    return F.col("l_returnflag") == "R"
 
 
 def _with_region(spark: SparkSession, d: str, *cols: str) -> DataFrame:
@@ -24,7 +30,7 @@ def _with_region(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 
 def micro_prf_by_region(spark: SparkSession, d: str) -> DataFrame:
     rows = _with_region(spark, d, "l_discount", "l_returnflag")
-    c = rows.groupBy("r_name").agg(F.count_if(PRED & GOLD).alias("tp"), F.count_if(PRED & ~GOLD).alias("fp"), F.count_if(~PRED & GOLD).alias("fn"))
+    c = rows.groupBy("r_name").agg(F.count_if(_pred() & _gold()).alias("tp"), F.count_if(_pred() & ~_gold()).alias("fp"), F.count_if(~_pred() & _gold()).alias("fn"))
     return score.prf(c)
 
 
@@ -51,29 +57,29 @@ def _li(spark: SparkSession, d: str) -> DataFrame:
 def prf_rollup_seed_cluster(spark: SparkSession, d: str) -> DataFrame:
     """Three thresholds stand for seeds: per seed and cluster, per cluster, per seed, and in all."""
     li = _li(spark, d).withColumn("cluster", F.pmod("l_suppkey", F.lit(20)).cast("int"))
-    c = score.sweep_counts(li, ["cluster"], F.col("l_discount"), list(THRESHOLDS), GOLD).withColumnRenamed("threshold", "seed")
+    c = score.sweep_counts(li, ["cluster"], F.col("l_discount"), list(THRESHOLDS), _gold()).withColumnRenamed("threshold", "seed")
     return score.prf(score.pooled_sets(c, [["seed", "cluster"], ["cluster"], ["seed"], []], ["seed", "cluster"]))
 
 
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     li = _li(spark, d)
-    return score.prf(score.sweep_counts(li, ["l_linestatus"], F.col("l_quantity"), [5.0, 10.0, 20.0, 30.0, 40.0, 50.0], GOLD))
+    return score.prf(score.sweep_counts(li, ["l_linestatus"], F.col("l_quantity"), [5.0, 10.0, 20.0, 30.0, 40.0, 50.0], _gold()))
 
 
 def set_prf_by_label(spark: SparkSession, d: str) -> DataFrame:
     li = _li(spark, d).select("l_partkey", "l_suppkey", "l_returnflag", "l_discount", "l_linestatus")
-    return score.prf(score.set_counts(li.where(PRED), li.where("l_linestatus = 'O'"), ["l_partkey", "l_suppkey", "l_returnflag"], ["l_returnflag"]))
+    return score.prf(score.set_counts(li.where(_pred()), li.where("l_linestatus = 'O'"), ["l_partkey", "l_suppkey", "l_returnflag"], ["l_returnflag"]))
 
 
 def multiset_prf_by_label(spark: SparkSession, d: str) -> DataFrame:
     li = _li(spark, d).select("l_partkey", "l_returnflag", "l_discount", "l_linestatus")
-    return score.multiset_counts(li.where(PRED), li.where("l_linestatus = 'O'"), ["l_partkey", "l_returnflag"], ["l_returnflag"])
+    return score.multiset_counts(li.where(_pred()), li.where("l_linestatus = 'O'"), ["l_partkey", "l_returnflag"], ["l_returnflag"])
 
 
 def invalid_predictions_count(spark: SparkSession, d: str) -> DataFrame:
     """Predictions with a quantity over 45 count as malformed: false positives, never hits."""
     li = _li(spark, d).select("l_partkey", "l_suppkey", "l_returnflag", "l_discount", "l_linestatus", (F.col("l_quantity") <= 45).alias("valid"))
-    return score.multiset_counts(li.where(PRED), li.where("l_linestatus = 'O'"), ["l_partkey", "l_returnflag"], ["l_returnflag"], valid="valid")
+    return score.multiset_counts(li.where(_pred()), li.where("l_linestatus = 'O'"), ["l_partkey", "l_returnflag"], ["l_returnflag"], valid="valid")
 
 
 def edit_confusion(spark: SparkSession, d: str) -> DataFrame:
@@ -109,12 +115,12 @@ def symmetric_closure_ceiling(spark: SparkSession, d: str) -> DataFrame:
 def core_projection(spark: SparkSession, d: str) -> DataFrame:
     """Records scored on their core only, the supplier dropped."""
     li = _li(spark, d)
-    return score.prf(score.set_counts(li.where(PRED), li.where("l_linestatus = 'O'"), ["l_partkey", "l_returnflag"], []))
+    return score.prf(score.set_counts(li.where(_pred()), li.where("l_linestatus = 'O'"), ["l_partkey", "l_returnflag"], []))
 
 
 def conditional_binding(spark: SparkSession, d: str) -> DataFrame:
     li = _li(spark, d)
-    return score.conditional_binding(li.where(PRED), li.where("l_linestatus = 'O'"), ["l_partkey", "l_returnflag"], ["l_suppkey"])
+    return score.conditional_binding(li.where(_pred()), li.where("l_linestatus = 'O'"), ["l_partkey", "l_returnflag"], ["l_suppkey"])
 
 
 def full_document_sensitivity(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +134,7 @@ def full_document_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 def oracle_edit_ceiling(spark: SparkSession, d: str) -> DataFrame:
     li = _li(spark, d).select("l_partkey", "l_suppkey", "l_discount", "l_linestatus", "l_quantity")
     pool = li.where("l_quantity > 45").withColumn("operation", F.lit("add")).unionByName(li.where("l_quantity < 5").withColumn("operation", F.lit("delete")))
-    return score.prf(score.oracle_ceiling(li.where(PRED), pool, li.where("l_linestatus = 'O'"), ["l_partkey", "l_suppkey"]))
+    return score.prf(score.oracle_ceiling(li.where(_pred()), pool, li.where("l_linestatus = 'O'"), ["l_partkey", "l_suppkey"]))
 
 
 def label_conservation(spark: SparkSession, d: str) -> DataFrame:
@@ -136,8 +142,8 @@ def label_conservation(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     li = _li(spark, d)
-    by = score.counts_by_flags(li, ["l_linestatus", "l_returnflag"], PRED, GOLD)
-    all_ = score.counts_by_flags(li, ["l_linestatus"], PRED, GOLD)
+    by = score.counts_by_flags(li, ["l_linestatus", "l_returnflag"], _pred(), _gold())
+    all_ = score.counts_by_flags(li, ["l_linestatus"], _pred(), _gold())
     part = score.pooled(by, ["l_linestatus"])
     return part.exceptAll(all_).unionByName(all_.exceptAll(part)).select("l_linestatus", "tp", "fp", "fn")
 
@@ -145,7 +151,7 @@ def label_conservation(spark: SparkSession, d: str) -> DataFrame:
 def gold_support_invariant(spark: SparkSession, d: str) -> DataFrame:
     """Clusters with their gold support at each seed; ``variants`` must be 1."""
     li = _li(spark, d).withColumn("cluster", F.pmod("l_suppkey", F.lit(20)).cast("int"))
-    c = score.sweep_counts(li, ["cluster"], F.col("l_discount"), list(THRESHOLDS), GOLD)
+    c = score.sweep_counts(li, ["cluster"], F.col("l_discount"), list(THRESHOLDS), _gold())
     return c.groupBy("cluster").agg(F.countDistinct(F.col("tp") + F.col("fn")).alias("variants"), F.min(F.col("tp") + F.col("fn")).alias("support"))
 
 
