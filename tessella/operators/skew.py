@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Members of a key that one task of a self-join handles.
@@ -50,39 +50,36 @@ def pairs_between(left: DataFrame, right: DataFrame, key: list[str], uid: str, b
     return a.join(b, [*key, "_i", "_j"]).select(F.col("_l").alias(f"left_{uid}"), F.col("_r").alias(f"right_{uid}"))
 
 
-def hot_keys(counted: DataFrame, keys: list[str], n: str, total: int, max_hot: int = MAX_HOT) -> tuple[DataFrame, int]:
-    """Keys of ``counted`` whose ``n`` exceeds ``total / max_hot``; there can't be more than ``max_hot``."""
+def _routed(probe: DataFrame, keyed: DataFrame, keys: list[str], n: str, total: int, max_hot: int) -> tuple[DataFrame, list[str]]:
+    """``probe`` left-joined with ``keyed`` in one pass: columns ``_hot``, ``_cold`` and the values of either, prefixed.
+
+    The at most ``max_hot`` keys with more than ``total / max_hot`` probe rows are broadcast; their rows are dealt out by a salt that
+    meets nothing, so they stay even over tasks. All others meet their key by shuffle.
+    """
     least = max(1, total // max_hot)
-    return counted.where(F.col(n) > least).select(*keys), least
+    values = [c for c in keyed.columns if c not in (*keys, n)]
+    hot = keyed.where(F.col(n) > least).select(*keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_h_{c}") for c in values])
+    cold = keyed.where(F.col(n) <= least).select(*keys, F.lit(0).alias("_salt"), F.lit(True).alias("_cold"), *[F.col(c).alias(f"_c_{c}") for c in values])
+    x = probe.where(" and ".join(f"`{k}` is not null" for k in keys)).join(F.broadcast(hot), keys, "left")
+    x = x.withColumn("_salt", F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(*[c for c in probe.columns if not probe.schema[c].dataType.typeName() == "map"]), F.lit(65_536))).otherwise(F.lit(0)).cast("int"))
+    return x.join(cold, [*keys, "_salt"], "left").where("_hot or _cold"), values
 
 
 def semi_join(probe: DataFrame, keyed: DataFrame, keys: list[str], n: str, total: int, max_hot: int = MAX_HOT) -> DataFrame:
-    """``probe`` rows whose key is in ``keyed``, exact under any skew.
+    """``probe`` rows whose key is in ``keyed``, exact under any skew, with one pass over ``probe``.
 
-    ``n`` says how many probe rows a key has, ``total`` their sum. The at most ``max_hot`` keys with
-    more than ``total / max_hot`` rows are broadcast, and their rows never shuffle; all others do.
+    ``n`` says how many probe rows a key has, ``total`` their sum. Null keys match nothing.
     """
-    hot, least = hot_keys(keyed, keys, n, total, max_hot)
-    hot = F.broadcast(hot)
-    cold = keyed.where(F.col(n) <= least).select(*keys)
-    return probe.join(hot, keys, "left_semi").unionByName(probe.join(hot, keys, "left_anti").join(cold, keys, "left_semi"))
-
-
-def salted(c: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(c, F.lit(11)), F.lit(salts)).cast("int")
+    return _routed(probe, keyed.select(*keys, n), keys, n, total, max_hot)[0].select(*probe.columns)
 
 
 def lookup_join(probe: DataFrame, keyed: DataFrame, keys: list[str], n: str, total: int, max_hot: int = MAX_HOT) -> DataFrame:
-    """Inner join of ``probe`` with the one row per key of ``keyed``, exact under any skew.
+    """Inner join of ``probe`` with the one row per key of ``keyed``, exact under any skew, with one pass over ``probe``.
 
-    As in :func:`semi_join`, keys of more than ``total / max_hot`` probe rows are broadcast with
-    their columns; the rest is joined by shuffle. ``n`` is dropped.
+    As :func:`semi_join`; the columns of ``keyed`` are added, except ``n``.
     """
-    least = max(1, total // max_hot)
-    hot = F.broadcast(keyed.where(F.col(n) > least).drop(n))
-    cold = keyed.where(F.col(n) <= least).drop(n)
-    hot_only = F.broadcast(keyed.where(F.col(n) > least).select(*keys))
-    return probe.join(hot, keys).unionByName(probe.join(hot_only, keys, "left_anti").join(cold, keys))
+    out, values = _routed(probe, keyed, keys, n, total, max_hot)
+    return out.select(*probe.columns, *[F.when(F.col("_hot").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in values])
 
 
 def attach(rows: DataFrame, key: str, members: DataFrame, member_key: str, uid: str, out: str, block: int = BLOCK) -> DataFrame:
