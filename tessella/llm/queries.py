@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import components, group_split, mixing, overlap, plain_form, setjoin, spans, subjects, tokenize
+from tessella.llm import components, edit_join, group_split, mixing, overlap, plain_form, setjoin, spans, subjects, tokenize
 from tessella.llm.units import distinct_units
 from tessella.functions.keys import plain_key
 from tessella.sources.tables import table
@@ -42,6 +42,12 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(distinct_units(spark, folder, ["split", "corpus", "doi", "norm_text"]))
 
 
+def p3_short(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs across splits of texts of under 20 words whose plain forms are within two edits."""
+    u = distinct_units(spark, folder, ["split", "norm_text"])
+    return edit_join.near_short_pairs(u.select("uid", plain_key(F.col("split")).alias("split"), plain_form.plain_form("norm_text").alias("plain_text")), overlap.LEAST_WORDS)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return plain_form.print_alike_pairs(distinct_units(spark, folder, ["norm_text"]))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("tessella.llm")
-from tessella.llm import components, group_split, mixing, overlap, plain_form, queries, setjoin, spans, subjects, tokenize  # noqa: E402
+from tessella.llm import components, edit_join, group_split, mixing, overlap, plain_form, queries, setjoin, spans, subjects, tokenize  # noqa: E402
 
 
 def rows(df, *cols):
@@ -194,6 +194,26 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.cross_split_pairs(df.limit(0)).count() == 0
 
 
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j - 1] + (x != y), old[j] + 1, row[j - 1] + 1))
+    return row[-1]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_edit_join_against_brute_force(spark, k):
+    rng = random.Random(k)
+    texts = ["", "a", "ab", "abc", "bc"] + ["".join(rng.choice("abc") for _ in range(rng.randrange(4, 14))) for _ in range(120)]
+    held, train = texts[::2] + ["zzzz", None], texts[1::2] + ["abc", None, None]
+    frame = lambda t: spark.createDataFrame([(x, "clash") for x in t], "text string, h string")
+    want = {(a, b, d) for a in set(held) - {None} for b in set(train) - {None} if (d := brute_distance(a, b)) <= k}
+    assert rows(edit_join.near_texts(frame(held), frame(train), k=k), "etext", "ttext", "distance") == want
+    assert edit_join.near_texts(frame([]), frame(train), k=k).count() == 0
+
+
 def test_print_alike_against_brute_force(spark):
     data = [r for r in unit_rows() if r[5] is not None]
     df = spark.createDataFrame(data, UNITS)
