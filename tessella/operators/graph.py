@@ -147,7 +147,7 @@ def components(choices: dict[str, list[tuple[str, dict[str, str]]]]) -> list[lis
     return list(groups.values())
 
 
-def _best(roots: list[str], choices: dict[str, list[tuple[str, dict[str, str]]]], steps: Steps) -> list[tuple[str, str]]:
+def _best(roots: list[str], choices: dict[str, list[tuple[str, dict[str, str]]]], steps: Steps) -> tuple[list[tuple[str, str]], dict[str, str]]:
     """Most compatible choices of one group: depth first with an undo trail, bounded by the gold roots still open."""
     roots = sorted(roots, key=lambda r: (len(choices[r]), r))
     ahead = [set(g for r in roots[i:] for g, _ in choices[r]) for i in range(len(roots) + 1)]
@@ -156,6 +156,7 @@ def _best(roots: list[str], choices: dict[str, list[tuple[str, dict[str, str]]]]
     used: set[str] = set()
     chosen: list[tuple[str, str]] = []
     best: list[tuple[str, str]] = []
+    ids: dict[str, str] = {}
     # a frame: which root, which of its options comes next (the last is to leave it out), what the option in force has added
     stack: list[list] = [[0, 0, None]]
     while stack:
@@ -166,7 +167,7 @@ def _best(roots: list[str], choices: dict[str, list[tuple[str, dict[str, str]]]]
             used.discard(chosen.pop()[1])
             stack[-1][2] = None
         if len(chosen) > len(best):
-            best = list(chosen)
+            best, ids = list(chosen), dict(fwd)
         if i == len(roots) or nxt > len(choices[roots[i]]) or len(chosen) + min(len(roots) - i, len(ahead[i] - used)) <= len(best):
             stack.pop()
             continue
@@ -185,11 +186,11 @@ def _best(roots: list[str], choices: dict[str, list[tuple[str, dict[str, str]]]]
         chosen.append((roots[i], g))
         stack[-1][2] = new
         stack.append([i + 1, 0, None])
-    return best
+    return best, ids
 
 
-def global_match(pred: dict[str, Closure], gold: dict[str, Closure], label_p: dict[str, str], label_g: dict[str, str], budget: int = BUDGET) -> list[tuple[str, str]]:
-    """Pairs of predicted and gold roots of a largest sharing-consistent match."""
+def global_match(pred: dict[str, Closure], gold: dict[str, Closure], label_p: dict[str, str], label_g: dict[str, str], budget: int = BUDGET) -> tuple[list[tuple[str, str]], dict[str, str]]:
+    """Pairs of predicted and gold roots of a largest sharing-consistent match, and the ids' mapping that bears it."""
     steps = Steps(budget)
     by = defaultdict(list)
     for g, c in gold.items():
@@ -200,9 +201,12 @@ def global_match(pred: dict[str, Closure], gold: dict[str, Closure], label_p: di
         if options:
             choices[p] = options
     out: list[tuple[str, str]] = []
+    ids: dict[str, str] = {}
     for group in components(choices):
-        out += _best(group, choices, steps)
-    return out
+        pairs, mapping = _best(group, choices, steps)
+        out += pairs
+        ids |= mapping
+    return out, ids
 
 
 def local_match(pred: dict[str, Closure], gold: dict[str, Closure], label_p: dict[str, str], label_g: dict[str, str], budget: int = BUDGET) -> int:
@@ -245,7 +249,7 @@ RECORDS = ("kind", "id", "label", "spans", "arg1", "arg2", "trigger", "roles", "
 
 
 def match_documents(records: DataFrame, key: list[str], family: str = "E", budget: int = BUDGET) -> DataFrame:
-    """``key, tp, fp, fn, local_tp, pairs`` of each document; ``records`` has both sides, ``gold`` telling them apart.
+    """``key, tp, fp, fn, local_tp, pairs, mapping`` of each document; ``records`` has both sides, ``gold`` telling them apart.
 
     Counts are over all records of the family, invalid ones too. ``spans`` and ``roles`` are written forms. A document without the family on
     either side comes out with zeros.
@@ -254,10 +258,46 @@ def match_documents(records: DataFrame, key: list[str], family: str = "E", budge
     def work(k: tuple, rows: pd.DataFrame) -> list[tuple]:
         g = rows["gold"].astype(bool)
         (cp, lp), (cg, lg) = closures(rows[~g], family), closures(rows[g], family)
-        pairs = sorted(global_match(cp, cg, lp, lg, budget))
+        pairs, ids = global_match(cp, cg, lp, lg, budget)
         n_p, n_g = int((rows.loc[~g, "kind"] == family).sum()), int((rows.loc[g, "kind"] == family).sum())
-        return [(*k, len(pairs), n_p - len(pairs), n_g - len(pairs), local_match(cp, cg, lp, lg, budget), [f"{a}={b}" for a, b in pairs])]
+        return [(*k, len(pairs), n_p - len(pairs), n_g - len(pairs), local_match(cp, cg, lp, lg, budget), sorted(f"{a}={b}" for a, b in pairs), sorted(f"{a}={b}" for a, b in ids.items()))]
 
     types = dict(records.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in key] + ["tp long", "fp long", "fn long", "local_tp long", "pairs array<string>"])
+    schema = ", ".join([f"{c} {types[c]}" for c in key] + ["tp long", "fp long", "fn long", "local_tp long", "pairs array<string>", "mapping array<string>"])
     return per_group(records.select(*key, "gold", *RECORDS), key, work, schema, ["gold", "id"])
+
+
+def record_edges(records: DataFrame, by: list[str]) -> DataFrame:
+    """``by, id, edge, ref``: what valid R and E records refer to, and as what."""
+    e = records.where("valid and kind in ('R', 'E')")
+    fixed = F.when(F.col("kind") == "R", F.array(*[F.struct(F.lit(n).alias("edge"), F.col(c).alias("ref")) for n, c in (("Arg1", "arg1"), ("Arg2", "arg2"))])).otherwise(F.array(F.struct(F.lit("trigger").alias("edge"), F.col("trigger").alias("ref"))))
+    named = F.transform(F.filter(F.split(F.coalesce("roles", F.lit("")), " "), lambda x: x != ""), lambda x: F.struct(F.concat(F.lit("role "), F.regexp_replace(x, ":[^:]*$", "")).alias("edge"), F.substring_index(x, ":", -1).alias("ref")))
+    return e.select(*by, "id", F.inline(F.concat(fixed, F.when(F.col("kind") == "E", named).otherwise(F.array().cast("array<struct<edge:string,ref:string>>")))))
+
+
+def witness_faults(records: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:
+    """Documents whose mapping isn't one to one, maps a node to one of another colour, or doesn't carry the edges of its nodes over; with ``fault``.
+
+    Checks a match without trusting the search: joins and multiset differences only.
+    """
+    m = matches.select(*by, F.explode("mapping").alias("m")).select(*by, F.substring_index("m", "=", 1).alias("p"), F.substring_index("m", "=", -1).alias("g"))
+    out = m.groupBy(*by, "g").count().where("count > 1").select(*by, F.lit("not_injective").alias("fault"))
+    colour = F.concat_ws("|", "kind", "label", F.coalesce("spans", F.lit("")))
+    side = lambda gold, a: records.where(F.col("valid") & (F.col("gold") == gold)).select(*by, F.col("id").alias(a), colour.alias(f"colour_{a}"))
+    tinted = m.join(side(False, "p"), [*by, "p"], "left").join(side(True, "g"), [*by, "g"], "left").where(~F.col("colour_p").eqNullSafe(F.col("colour_g")) | F.col("colour_p").isNull())
+    out = out.unionByName(tinted.select(*by, F.lit("colour").alias("fault")))
+    ep, eg = (record_edges(records.where(F.col("gold") == g), by) for g in (False, True))
+    name = m.select(*by, F.col("p").alias("id"), F.col("g").alias("gid"))
+    over = ep.join(name, [*by, "id"]).join(m.select(*by, F.col("p").alias("ref"), F.col("g").alias("gref")), [*by, "ref"]).select(*by, F.col("gid").alias("id"), "edge", F.col("gref").alias("ref"))
+    held = eg.join(m.select(*by, F.col("g").alias("id")), [*by, "id"], "left_semi")
+    lost = over.exceptAll(held).unionByName(held.exceptAll(over)).select(*by, F.lit("edges").alias("fault"))
+    return out.unionByName(lost).distinct()
+
+
+def nested_cycles(edges: DataFrame, src: str, dst: str, by: list[str]) -> DataFrame:
+    """Nodes that reach themselves, each with the least member of its cycle's component as ``cycle``."""
+    e = edges.select(*by, F.col(src).alias("a"), F.col(dst).alias("b")).distinct()
+    r = reachable(e, e.select(*by, F.col("b").alias("root")), "a", "b", by)
+    back = e.join(r.select(*by, F.col("root").alias("b"), F.col("node").alias("a")), [*by, "a", "b"], "left_semi").select(*by, F.col("a").alias("n")).distinct()
+    both = r.select(*by, F.col("root").alias("n"), F.col("node").alias("m")).join(r.select(*by, F.col("root").alias("m"), F.col("node").alias("n")), [*by, "n", "m"])
+    return back.join(both, [*by, "n"]).groupBy(*by, F.col("n").alias("node")).agg(F.min("m").alias("cycle"))

@@ -283,3 +283,62 @@ def restored(df: DataFrame, json_col: str = "json") -> DataFrame:
     return df.withColumn("raw", F.unbase64(F.get_json_object(json_col, "$.raw_base64")))
 
 
+
+
+def document_scores(sides: DataFrame, by: list[str], budget: int | None = None) -> DataFrame:
+    """``by, metric, tp, fp, fn`` of every document under all eight populations.
+
+    ``sides`` has resolved records of both sides with ``gold``. Mentions and projected relations are multisets of keys; events and relations are
+    matched as whole graphs, events also root by root. Invalid records count on their side and match nothing.
+    """
+    from tessella.operators import graph, score
+
+    key = mention_key(F.col("label"), F.col("segments"))
+    known = ENTITY_LABELS + EVENT_LABELS
+    pops = {"entities_eight": ENTITY_LABELS, "triggers": EVENT_LABELS, "combined_text_bound": known}
+    member = F.array(F.lit("text_bound_all_native"), *[F.when(F.col("label").isin(*v), F.lit(n)) for n, v in pops.items()])
+    t = sides.where("kind = 'T'").select(*by, "gold", "valid", key.alias("key"), F.explode(F.filter(member, lambda x: x.isNotNull())).alias("metric"))
+    rel = None
+    for g in (False, True):
+        r = relation_keys(sides.where(F.col("gold") == g).withColumn("doc", F.struct(*by)) if by != ["doc"] else sides.where(F.col("gold") == g))
+        r = r.select(*([F.col("doc")] if by == ["doc"] else [F.col(f"doc.{c}").alias(c) for c in by]), F.lit(g).alias("gold"), "valid", "key", F.lit("relations_trigger_projected").alias("metric"))
+        rel = r if rel is None else rel.unionByName(r)
+    flat = t.unionByName(rel)
+    sums = score.multiset_counts(flat.where("not gold"), flat.where("gold"), [*by, "metric", "key"], [*by, "metric"], valid="valid").select(*by, "metric", "tp", "fp", "fn")
+    for family, name in (("E", "events_full_graph"), ("R", "relations_full_graph")):
+        m = graph.match_documents(sides, by, family, budget or graph.BUDGET)
+        sums = sums.unionByName(m.select(*by, F.lit(name).alias("metric"), "tp", "fp", "fn"))
+        if family == "E":
+            local = F.col("local_tp")
+            sums = sums.unionByName(m.select(*by, F.lit("events_root_local_diagnostic").alias("metric"), local.alias("tp"), (F.col("tp") + F.col("fp") - local).alias("fp"), (F.col("tp") + F.col("fn") - local).alias("fn")))
+    return sums
+
+
+def population_scores(scores: DataFrame, inventory_: DataFrame, by: list[str]) -> DataFrame:
+    """Scores of a declared population of documents summed by metric; a document without any record counts nothing, one that isn't declared is an error."""
+    from tessella.operators.checks import require_empty
+
+    require_empty(scores.select(*by).distinct().join(inventory_.select(*by), by, "left_anti"), "documents outside the population")
+    n = inventory_.select(*by).distinct().count()
+    return scores.groupBy("metric").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")).withColumn("documents", F.lit(n).cast("long"))
+
+
+def prompt(parts: list[tuple[str, Column]], data: Column) -> Column:
+    """Headed text parts and one JSON part, null parts left out."""
+    return F.concat_ws("\n\n", *[F.when(c.isNotNull(), F.concat(F.lit(f"{name}\n"), c)) for name, c in parts], F.to_json(data))
+
+
+def endpoint_form(text: Column, begin: Column, end: Column) -> Column:
+    """A span as its text and the number of its occurrence (from 0, overlaps counted): the one that begins where the span does."""
+    from tessella.functions.text import occurrences
+
+    quote = F.substring(text, begin + 1, end - begin)
+    return F.struct(quote.alias("text"), (F.array_position(occurrences(text, quote), begin) - 1).cast("int").alias("occurrence"))
+
+
+def endpoint_span(text: Column, quote: Column, occurrence: Column) -> Column:
+    """The span of a text's occurrence, null where there is none: the inverse of :func:`endpoint_form`."""
+    from tessella.functions.text import nth_occurrence
+
+    at = nth_occurrence(text, quote, occurrence)
+    return F.when(at.isNotNull(), F.struct(at.alias("begin"), (at + F.length(quote)).alias("end")))

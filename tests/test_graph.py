@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import graph as G
 from tessella.operators import records as R
@@ -55,7 +56,8 @@ def test_matching_equals_enumeration():
             got = list(G.isomorphisms(a, b, G.Steps()))
             want = brute_isomorphisms(a, b)
             assert sorted(map(repr, (sorted(m.items()) for m in got))) == sorted(map(repr, (sorted(m.items()) for m in want)))
-        pairs = G.global_match(p, g, lp, lg)
+        pairs, ids = G.global_match(p, g, lp, lg)
+        assert len(set(ids.values())) == len(ids) and all(ids[a] == b for a, b in pairs)
         assert len(pairs) == brute_match(p, g, lp, lg)
         assert len(pairs) <= G.local_match(p, g, lp, lg)
         shared += len(pairs) < G.local_match(p, g, lp, lg)
@@ -136,6 +138,11 @@ def test_emission_and_compilation(spark):
     assert [(e["family"], e["payload"]) for e in got[1]] == [("T", "T1\tSC 1 3"), ("T", "T2"), ("T", "5"), ("R", "R1\tX Arg1:T1 Arg2:E2")]
 
 
+def test_cycles(spark):
+    e = spark.createDataFrame([(1, "a", "b"), (1, "b", "a"), (1, "b", "c"), (1, "d", "d"), (2, "a", "b")], "doc int, s string, t string")
+    assert sorted((r["doc"], r["node"], r["cycle"]) for r in G.nested_cycles(e, "s", "t", ["doc"]).collect()) == [(1, "a", "a"), (1, "b", "a"), (1, "d", "d")]
+
+
 def test_tickets(spark):
     t = '{"family":"T","operation":"add","issue":"i","recommendation":"r","uncertainty":"u","target_ids":["T1"],"source_witnesses":[]}'
     rows = [(1, f'{{"tickets":[{t},{t.replace(chr(105) + chr(34), chr(34), 1)}]}}'), (2, '{"tickets":[' + ",".join([t] * 13) + "]}"), (3, "oops"), (4, '{"x":1}'), (5, '{"tickets":[]}')]
@@ -150,7 +157,11 @@ def test_match_documents(spark):
     side = lambda gold: [(1, gold, "T", "T1", "SC", "0 2", None, None, None, None, True), (1, gold, "T", "T2", "Doping", "3 5", None, None, None, None, True), (1, gold, "E", "E1", "Doping", None, None, None, "T2", "Site:T1", True)]
     rows = side(True) + side(False) + [(1, False, "E", "E2", "Doping", None, None, None, "T2", "", False), (2, True, "E", "E1", "Doping", None, None, None, "T1", "", True), (2, True, "T", "T1", "Doping", "0 1", None, None, None, None, True)]
     df = spark.createDataFrame(rows, "doc long, gold boolean, kind string, id string, label string, spans string, arg1 string, arg2 string, trigger string, roles string, valid boolean")
-    got = {r["doc"]: (r["tp"], r["fp"], r["fn"], r["local_tp"], r["pairs"]) for r in G.match_documents(df, ["doc"]).collect()}
+    m = G.match_documents(df, ["doc"])
+    got = {r["doc"]: (r["tp"], r["fp"], r["fn"], r["local_tp"], r["pairs"]) for r in m.collect()}
+    assert G.witness_faults(df, m, ["doc"]).count() == 0
+    wrong = m.withColumn("mapping", F.array(F.lit("E1=E1"), F.lit("T1=T2"), F.lit("T2=T2")))
+    assert {r["fault"] for r in G.witness_faults(df, wrong.where("doc = 1"), ["doc"]).collect()} == {"not_injective", "colour", "edges"}
     assert got == {1: (1, 1, 0, 1, ["E1=E1"]), 2: (0, 0, 1, 0, [])}
     lines = R.lossless(spark.createDataFrame([(1, bytearray(b"\xff\x00a")), (2, None)], "k int, raw binary"), "raw", ["k"])
     assert {r["k"]: None if r["raw"] is None else bytes(r["raw"]) for r in R.restored(lines).collect()} == {1: b"\xff\x00a", 2: None}
