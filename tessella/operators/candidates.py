@@ -98,9 +98,18 @@ def fully_covered(members: Column, window: Column) -> Column:
 
 
 def covered_groups(groups: DataFrame, windows: DataFrame, doc: str, key: str, members: str, window: str) -> DataFrame:
-    """Groups with ``covered``: whether at least one window of the document holds all their endpoints."""
-    hit = groups.join(windows.select(doc, window), doc, "left").groupBy(doc, key).agg(F.coalesce(F.bool_or(fully_covered(F.col(members), F.col(window))), F.lit(False)).alias("covered"))
-    return groups.join(hit, [doc, key])
+    """Groups with ``covered``: whether at least one window of the document holds all their endpoints.
+
+    Members meet windows by document and member, and are counted; no group meets a window it shares nothing with. A group without members
+    is covered where the document has a window.
+    """
+    m = groups.select(doc, key, F.size(F.array_distinct(members)).alias("_k"), F.explode(F.array_distinct(members)).alias("_x"))
+    w = windows.select(doc, F.xxhash64(window).alias("_w"), F.explode(F.array_distinct(window)).alias("_x")).distinct()
+    hit = m.join(w, [doc, "_x"]).groupBy(doc, key, "_w").agg(F.count("*").alias("_n"), F.max("_k").alias("_k")).where("_n = _k").select(doc, key).distinct().withColumn("_hit", F.lit(True))
+    any_ = windows.select(doc).distinct().withColumn("_any", F.lit(True))
+    out = groups.join(hit, [doc, key], "left").join(any_, doc, "left")
+    none = F.coalesce(F.size(members) == 0, F.lit(False)) & F.col("_any").isNotNull()
+    return out.withColumn("covered", F.col("_hit").isNotNull() | none).drop("_hit", "_any")
 
 
 def role_groups(df: DataFrame, key: list[str], role: str, member: str, roles: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.operators.skew import pairs_within
+from tessella.operators.skew import lookup_join, pairs_within
 from tessella.session import materialize, release
 
 
@@ -50,8 +50,8 @@ def near_pairs(grams: DataFrame, uid: str, gram: str, num: int = 4, den: int = 5
     rows = grams.where(F.col(uid).isNotNull() & F.col(gram).isNotNull()).select(F.col(uid).alias("uid"), F.xxhash64(gram).alias("g")).distinct()
     rows = materialize(rows, "grams")
     sizes = with_possible_partner(materialize(rows.groupBy("uid").agg(F.count("*").cast("int").alias("c")), "sizes"), "c", num, den)
-    df = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(df, "g")
+    df = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").withColumn("_n", F.col("n"))
+    shared = lookup_join(rows, df, ["g"], "_n", rows.count())
     kept = shared.groupBy("uid").agg(F.count("*").alias("m")).join(sizes, "uid").where(F.col("m") * den >= F.col("c") * num).select("uid", "c", "m")
     placed = materialize(shared.join(kept, "uid"), "placed")
     rank = F.row_number().over(W.partitionBy("uid").orderBy("n", "g"))
@@ -75,12 +75,16 @@ def clusters(nodes: DataFrame, uid: str, edges: DataFrame, left: str, right: str
     known = nodes.where(F.col(uid).isNotNull()).select(F.col(uid).alias("u")).distinct()
     both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both.join(known.withColumnRenamed("u", "a"), "a", "left_semi").join(known.withColumnRenamed("u", "b"), "b", "left_semi"), "edges")
+    degree = materialize(both.groupBy("b").agg(F.count("*").alias("n")), "degrees")
+    ends_n, nodes_n = both.count(), known.count()
     label = materialize(known.select("u", F.col("u").alias("l")), "labels")
     for _ in range(max_rounds):
-        near = both.join(label.select(F.col("u").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
+        near = lookup_join(both, label.select(F.col("u").alias("b"), "l").join(degree, "b"), ["b"], "n", ends_n).groupBy("a").agg(F.min("l").alias("m"))
         new = label.join(near.withColumnRenamed("a", "u"), "u", "left").select("u", F.least("l", F.coalesce("m", "l")).alias("l"), F.col("l").alias("o"))
-        jump = new.select("u", "l", "o").join(new.select(F.col("u").alias("l"), F.col("l").alias("ll")), "l").select("u", F.col("ll").alias("l"), "o")
-        done = materialize(jump, "labels")
+        new = materialize(new, "labels")
+        named = new.groupBy("l").agg(F.count("*").alias("n")).join(new.select(F.col("u").alias("l"), F.col("l").alias("ll")), "l")
+        done = materialize(lookup_join(new, named, ["l"], "n", nodes_n).select("u", F.col("ll").alias("l"), "o"), "labels")
+        release(new)
         changed = done.where("l <> o").limit(1).count()
         release(label)
         label = done.drop("o")
