@@ -70,8 +70,13 @@ def _segments(spans: str) -> list[tuple[int, int]] | None:
 
 
 def diagnose(raw: bytes | None, family: str | None, native: bool) -> dict:
-    """One line, strictly: its first fault as ``code`` (0 for none) and its parts."""
+    """One line, strictly: its first fault as ``code`` (0 for none) and its parts.
+
+    A broken line keeps the family it was declared as, else that of its first character, so that it still counts there.
+    """
     out: dict = dict.fromkeys(PARSED.names[4:])
+    first = (raw or b"")[:1].decode("latin-1")
+    out["kind"] = declared = family if not native and family is not None else first if first and first in "TRE" else "AUX"
 
     def fail(reason: str) -> dict:
         return out | {"code": CODE[reason]}
@@ -92,7 +97,7 @@ def diagnose(raw: bytes | None, family: str | None, native: bool) -> dict:
     out["id"] = fields[0]
     out["kind"] = kind = fields[0][0] if fields[0][0] in "TRE" else "AUX"
     if not native and family is not None and family != kind:
-        return fail("declared_family_mismatch")
+        return fail("declared_family_mismatch") | {"kind": declared}
     if kind == "AUX":
         return out | {"code": 0}
     if kind == "T":

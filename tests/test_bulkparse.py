@@ -45,6 +45,12 @@ def test_families_and_missing_texts(spark):
     assert got == {1: "declared_family_mismatch", 2: None, 3: None, 4: "invalid_offset_range", 5: None, 6: None, 7: "embedded_line_break"}
 
 
+def test_broken_lines_keep_their_family(spark):
+    rows = [(1, 1, "R", b"T1\tSC 0 1"), (2, 1, "E", None), (3, 1, None, b"R1"), (4, 1, None, b"\xff")]
+    lines = spark.createDataFrame(rows, "record_id long, doc_id long, family string, raw binary")
+    assert {r["row_id"]: r["kind"] for r in g.parsed_lines(lines, "record_id", "raw", False).collect()} == {1: "R", 2: "E", 3: "R", 4: "AUX"}
+
+
 def test_empty_and_one_hot_document(spark):
     assert found(spark, []) == {}
     rows = [(i, 1, None, b"T1\tSC 0 11" if i % 100 == 0 else b"T1\tSC 0 10", None, None) for i in range(5000)]
