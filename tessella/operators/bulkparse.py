@@ -1,60 +1,54 @@
 """Problem 6: loading rows of which some fail to parse.
 
-A block of rows is parsed in bulk on a columnar path that either succeeds as a whole or fails. A
-failing block is halved until the bad rows stand alone; each of those is diagnosed strictly. Sound
-rows are never parsed one by one, whatever stands near them.
+A block of rows goes through a columnar path that handles it as a whole. A step that can only succeed or fail for the whole block, as decoding,
+is repeated on halves of a failing block until the bad rows stand alone. Where the columnar path can tell itself which rows don't
+fit, it says so. Either way bad rows are taken out and diagnosed strictly, one by one, and sound rows never are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 
-#: Rows below which a failing block is diagnosed row by row: a bulk call costs about as much as this many rows.
-LEAF = 32
 
-
-class Fault(Exception):
-    """A block holds a row that the bulk path can't load."""
-
-
-def passes(block: pa.RecordBatch, step: Callable[[pa.RecordBatch], object]) -> object | None:
-    try:
-        return step(block)
-    except (Fault, pa.ArrowInvalid):
-        return None
-
-
-def bisect(block: pa.RecordBatch, step: Callable[[pa.RecordBatch], object]) -> Iterator[tuple[pa.RecordBatch, object | None]]:
-    """Blocks that together hold every row, in order, each with what ``step`` made of it: None if it holds a bad row."""
+def bisect(block: pa.RecordBatch, step: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Blocks that together hold every row, in order: what ``step`` made of them and True, or single rows it fails on and False."""
     if not block.num_rows:
         return
-    done = passes(block, step)
-    if done is not None or block.num_rows <= LEAF:
-        yield block, done
+    try:
+        yield step(block), True
         return
+    except pa.ArrowInvalid:
+        if block.num_rows == 1:
+            yield block, False
+            return
     half = block.num_rows // 2
     yield from bisect(block.slice(0, half), step)
     yield from bisect(block.slice(half), step)
 
 
-def parser(shape: Callable[[pa.RecordBatch], object], bulk: Callable[[pa.RecordBatch], pa.RecordBatch], strict: Callable[[pa.RecordBatch], pa.RecordBatch], schema: pa.Schema):
+def parser(decode: Callable[[pa.RecordBatch], pa.RecordBatch], load: Callable[[pa.RecordBatch], tuple[pa.RecordBatch, np.ndarray]], strict: Callable[[pa.RecordBatch], pa.RecordBatch], schema: pa.Schema):
     """A function for ``mapInArrow``.
 
-    ``shape`` tests a whole block cheaply; the blocks that pass are loaded together by ``bulk``, which may still
-    find a bad row by its values and is then bisected itself. Blocks that don't pass go to ``strict``.
+    ``decode`` adds columns to a block or raises ArrowInvalid; ``load`` gives the parsed rows of a decoded block, and a mask of
+    those among its rows that don't fit; ``strict`` parses raw rows one by one, with their faults.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good, out = [], []
-            for block, passed in bisect(b, shape):
-                good.append(block) if passed is not None else out.append(strict(block))
-            if good:
-                whole = pa.Table.from_batches(good).combine_chunks().to_batches()
-                for block, loaded in (x for w in whole for x in bisect(w, bulk)):
-                    out.append(loaded if loaded is not None else strict(block))
+            good, bad = [], []
+            for block, done in bisect(b, decode):
+                (good if done else bad).append(block)
+            out = []
+            for block in pa.Table.from_batches(good).combine_chunks().to_batches() if good else []:
+                loaded, odd = load(block)
+                out.append(loaded)
+                if odd.any():
+                    bad.append(block.filter(pa.array(odd)).select(b.schema.names))
+            if bad:
+                out += [strict(x) for x in pa.Table.from_batches(bad).combine_chunks().to_batches()]
             if out:
                 yield from pa.Table.from_batches(out, schema).combine_chunks().to_batches()
 

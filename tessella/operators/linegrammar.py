@@ -12,12 +12,13 @@ from __future__ import annotations
 import re
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.bulkparse import Fault, parser
+from tessella.operators.bulkparse import parser
 
 # Reasons, in the order in which they are met.
 REASONS = (
@@ -148,91 +149,85 @@ def _strict(native: bool):
     return run
 
 
-_SHAPE = "|".join(f"(?:{re.sub(r'[?]P<[a-z0-9]+>', '?:', p)})" for p in _SOUND.values())
+def _decode(native: bool):
+    """Adds ``line``, the text without its final CR; fails unless the whole block is UTF-8."""
 
-
-def _shape(native: bool):
-    """Whether all lines of a block are UTF-8 without a break and of the shape of one of the families."""
-
-    def run(b: pa.RecordBatch) -> bool:
-        raw = b.column("raw")
-        if raw.null_count:
-            raise Fault
-        if not pc.all(pc.match_substring_regex(_lines(raw, native), _SHAPE)).as_py():
-            raise Fault
-        return True
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        line = b.column("raw").cast(pa.string())
+        if native:
+            line = pc.if_else(pc.ends_with(line, "\r"), pc.utf8_slice_codeunits(line, 0, -1), line)
+        return b.append_column("line", line)
 
     return run
 
 
-def _lines(raw: pa.Array, native: bool) -> pa.Array:
-    """Text of the lines; fails unless all are UTF-8 and none holds a line break."""
-    line = raw.cast(pa.string())
-    if native:
-        line = pc.replace_substring_regex(line, r"\r\z", "")
-    if pc.any(pc.match_substring_regex(line, r"[\r\n]")).as_py():
-        raise Fault
-    return line
-
+def _load(native: bool):
+    """The sound lines of a decoded block, and which lines aren't: each family's lines are matched and taken apart in one pass."""
 
-def _bulk(native: bool):
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        line = _lines(b.column("raw"), native)
+    def run(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+        line, n = b.column("line"), b.num_rows
+        odd = pc.match_substring_regex(line, r"[\r\n]").fill_null(True).to_numpy(zero_copy_only=False)
         first = pc.utf8_slice_codeunits(line, 0, 1)
-        kind = pc.if_else(pc.is_in(first, pa.array(["T", "R", "E"])), first, pa.scalar("AUX"))
-        if not native and pc.any(pc.not_equal(b.column("family"), kind)).as_py():
-            raise Fault
-        empty = pa.nulls(b.num_rows, pa.string())
-        cols: dict[str, pa.Array] = {n: empty for n in ("id", "label", "spans", "arg1", "arg2", "trigger", "roles")}
-        high = pa.nulls(b.num_rows, pa.int64())
+        kind = pc.if_else(pc.is_in(first, pa.array(["T", "R", "E"])), first, pa.scalar("AUX")).fill_null("AUX")
+        if not native:
+            odd = odd | pc.not_equal(b.column("family"), kind).fill_null(False).to_numpy(zero_copy_only=False)
+        kinds = kind.to_numpy(zero_copy_only=False)
+        cols: dict[str, np.ndarray] = {c: np.full(n, None, dtype=object) for c in ("id", "label", "spans", "arg1", "arg2", "trigger", "roles")}
+        high = np.full(n, -1, dtype=np.int64)
         for k, pattern in _SOUND.items():
-            mask = pc.equal(kind, k)
-            mine = line.filter(mask)
-            if not len(mine):
+            at = np.flatnonzero((kinds == k) & ~odd)
+            got = pc.extract_regex(line.take(pa.array(at)), pattern)
+            fits = got.is_valid().to_numpy(zero_copy_only=False)
+            odd[at[~fits]] = True
+            got, at = got.filter(pa.array(fits)), at[fits]
+            part = {f.name: got.field(i) for i, f in enumerate(got.type)}
+            if not len(at):
                 continue
-            got = pc.extract_regex(mine, pattern)
-            if got.null_count:
-                raise Fault
-            part = {n: got.field(i) for i, n in enumerate(f.name for f in got.type)}
+            if k == "T":
+                top, wrong = _ends(part["spans"])
+                odd[at[wrong]] = True
+                high[at] = top
             if k == "R":
-                if pc.any(pc.equal(part["k1"], part["k2"])).as_py():
-                    raise Fault
-                straight = pc.equal(part["k1"], "Arg1")
-                part |= {"arg1": pc.if_else(straight, part["v1"], part["v2"]), "arg2": pc.if_else(straight, part["v2"], part["v1"])}
+                k1 = part.pop("k1")
+                odd[at[pc.equal(k1, part.pop("k2")).to_numpy(zero_copy_only=False)]] = True
+                straight, v1, v2 = pc.equal(k1, "Arg1"), part.pop("v1"), part.pop("v2")
+                part |= {"arg1": pc.if_else(straight, v1, v2), "arg2": pc.if_else(straight, v2, v1)}
             if k == "E":
                 part["roles"] = pc.utf8_trim(part["roles"], " ")
-            if k == "T":
-                high = pc.replace_with_mask(high, mask, _ends(part["spans"]))
-            for n in cols:
-                if n in part:
-                    cols[n] = pc.replace_with_mask(cols[n], mask, part[n])
-        made = [pa.nulls(b.num_rows, pa.int32()).fill_null(0), kind, cols["id"], cols["label"], cols["spans"], high, cols["arg1"], cols["arg2"], cols["trigger"], cols["roles"]]
-        return pa.RecordBatch.from_arrays([*[b.column(n).cast(PARSED.field(n).type) for n in PARSED.names[:3]], *made], schema=PARSED)
+            for c, v in part.items():
+                cols[c][at] = v.to_numpy(zero_copy_only=False)
+        keep = ~odd
+        m = int(keep.sum())
+        made = [pa.array(np.zeros(m, np.int32)), kind.filter(pa.array(keep)), *[pa.array(cols[c][keep], pa.string()) for c in ("id", "label", "spans")]]
+        made += [pa.array(high[keep], mask=high[keep] < 0), *[pa.array(cols[c][keep], pa.string()) for c in ("arg1", "arg2", "trigger", "roles")]]
+        head = [b.column(c).filter(pa.array(keep)).cast(PARSED.field(c).type) for c in PARSED.names[:3]]
+        return pa.RecordBatch.from_arrays([*head, *made], schema=PARSED), odd
 
     return run
 
 
-def _ends(spans: pa.Array) -> pa.Array:
-    """The largest end of each row's segments; faults unless all are ordered, from 0 on, and apart."""
+def _ends(spans: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The largest end of each row's segments, and whether some lie out of order, below 0 or over each other."""
     lists = pc.split_pattern(spans, ";")
-    row = pc.list_parent_indices(lists)
+    starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
     two = pc.extract_regex(lists.flatten(), r"^ *(?P<a>-?[0-9]+) +(?P<b>-?[0-9]+) *$")
-    a, b = (two.field(i).cast(pa.int64()) for i in (0, 1))
-    if pc.any(pc.or_(pc.less(a, 0), pc.less(b, a))).as_py():
-        raise Fault
-    if len(a) > len(spans):
-        t = pa.table({"r": row, "a": a, "b": b}).sort_by([("r", "ascending"), ("a", "ascending"), ("b", "ascending")])
-        t = t.filter(pc.less(t["a"], t["b"])).combine_chunks()  # empty segments overlap nothing
-        r, x, y = (t[n].to_numpy() for n in ("r", "a", "b"))
-        if ((r[1:] == r[:-1]) & (x[1:] < y[:-1])).any():
-            raise Fault
-    top = pa.table({"r": row, "b": b}).group_by("r").aggregate([("b", "max")]).sort_by("r")
-    return top["b_max"].combine_chunks()
+    a, b = (two.field(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in (0, 1))
+    wrong = np.logical_or.reduceat((a < 0) | (b < a), starts)
+    row = np.repeat(np.arange(len(spans)), np.diff(np.append(starts, len(a))))
+    several = np.flatnonzero((np.bincount(row)[row] > 1) & (a < b))  # empty segments overlap nothing
+    if len(several):
+        order = several[np.lexsort((b[several], a[several], row[several]))]
+        r, x, y = row[order], a[order], b[order]
+        # the furthest end so far of the same row; ends beyond any text, which are out of range anyway, are cut so that sums fit
+        y, step = np.minimum(y, 1 << 40), (1 << 40) + 1
+        reach = np.maximum.accumulate(y + r * step) - r * step
+        wrong[r[1:][(r[1:] == r[:-1]) & (x[1:] < reach[:-1])]] = True
+    return np.maximum.reduceat(b, starts), wrong
 
 
 @cache
 def _parser(native: bool):
-    return parser(_shape(native), _bulk(native), _strict(native), PARSED)
+    return parser(_decode(native), _load(native), _strict(native), PARSED)
 
 
 def parsed_lines(lines: DataFrame, row_id: str, raw: str, native: bool, stamp: str | None = None, family: str = "family", doc: str = "doc_id") -> DataFrame:

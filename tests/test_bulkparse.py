@@ -11,7 +11,7 @@ LINES = [
     (b"T1\tSC", "invalid_T_label"), (b"T1\t 0 2", "invalid_T_label"), ("T1\tS C 0 2".encode(), "invalid_T_label"), (b"T1\tSC 0", "invalid_segment_syntax"),
     (b"T1\tSC 0 2;", "invalid_segment_syntax"), (b"T1\tSC 0 +2", "invalid_segment_syntax"), (b"T1\tSC -1 2", "invalid_offset_range"), (b"T1\tSC 3 2", "invalid_offset_range"),
     (b"T1\tSC 0 11", "invalid_offset_range"), (b"T1\tSC 0 3;2 4", "overlapping_segments"), (b"T1\tSC 2 4;0 2", None), (b"T1\tSC 0 3;2 2", None), (b"T1\tSC 0 3;2 99", "invalid_offset_range"),
-    (b"T1\tSC 0 99999999999999999999", "invalid_offset_range"), (b"R1\tTarget Arg1:T1 Arg2:E2", None), (b"R1\tTarget Arg2:T1 Arg1:T2", None), (b"R1\tTarget Arg1:T1 Arg2:T2\t", "R_E_requires_two_tab_fields"),
+    (b"T1\tSC 0 99999999999999999999", "invalid_offset_range"), (b"T1\tSC 0 999999999999999;999999999999998 999999999999999", "invalid_offset_range"), (b"T1\tSC 0 9;1 2;3 4", "overlapping_segments"), (b"R1\tTarget Arg1:T1 Arg2:E2", None), (b"R1\tTarget Arg2:T1 Arg1:T2", None), (b"R1\tTarget Arg1:T1 Arg2:T2\t", "R_E_requires_two_tab_fields"),
     (b"R1\tTarget Arg1:T1", "invalid_relation_syntax"), (b"R1\tTa;rget Arg1:T1 Arg2:T2", "invalid_relation_syntax"), (b"R1\tTarget Arg1=T1 Arg2:T2", "invalid_relation_argument"),
     (b"R1\tTarget Arg1:T1 Arg1:T2", "relation_requires_Arg1_Arg2_once"), (b"R1\tTarget Arg1:R1 Arg2:T2", "invalid_relation_endpoint_identifier"), (b"E1\tDoping:T1", None),
     (b"E1\tDoping:T1 Site:T2 Site:E3", None), (b"E1\t", "missing_event_trigger"), (b"E1\tDoping:E1", "invalid_event_trigger"), (b"E1\tDoping:T1 Site:R2", "invalid_event_role_endpoint"),
