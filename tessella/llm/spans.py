@@ -29,20 +29,25 @@ from tessella.session import materialize
 # Odd multipliers of the two polynomials, arbitrary.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SEEDS = (0x165667B1, 0x27D4EB2F)
-#: Windows of one output batch.
+#: Words that are hashed in one vectorised pass.
 BATCH = 200_000
+#: Distinct words remembered by a task before it starts anew.
+REMEMBERED = 500_000
 
 
-def word_hashes(words: list[str], seed: int, memo: dict[str, int]) -> np.ndarray:
-    out = np.empty(len(words), dtype=np.uint64)
-    for i, w in enumerate(words):
-        h = memo.get(w)
-        if h is None:
-            if len(memo) > 500_000:
-                memo.clear()
-            h = memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed)
-        out[i] = h
-    return out
+class Words(dict):
+    """Words to numbers, in order of first sight, with their two hashes."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes: tuple[list[int], list[int]] = ([], [])
+
+    def __missing__(self, word: str) -> int:
+        raw = word.encode("utf-8", "surrogatepass")
+        for held, seed in zip(self.hashes, SEEDS, strict=True):
+            held.append(xxhash.xxh64_intdigest(raw, seed))
+        self[word] = number = len(self)
+        return number
 
 
 def rolling(h: np.ndarray, base: int, width: int) -> np.ndarray:
@@ -50,11 +55,11 @@ def rolling(h: np.ndarray, base: int, width: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    acc = np.zeros(n, dtype=np.uint64)
-    b = np.uint64(base)
+    acc, b = np.zeros(n, dtype=np.uint64), np.uint64(base)
     with np.errstate(over="ignore"):
         for j in range(width):
-            acc = acc * b + h[j : j + n]
+            acc *= b
+            acc += h[j : j + n]
     return acc
 
 
@@ -68,27 +73,34 @@ def _windows(width: int):
     schema = pa.schema([("uid", pa.int64()), ("pos", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        parts: list[tuple[np.ndarray, ...]] = []
-        held = 0
+        known = Words()
+        ids: list[int] = []
+        uids: list[int] = []
+        sizes: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
+            # all texts of the pass as one sequence; windows that run from one text into the next are left out
+            n, size = np.array(ids, dtype=np.int64), np.array(sizes, dtype=np.int64)
+            starts = np.cumsum(size) - size
+            at = np.arange(len(n)) - np.repeat(starts, size)
+            whole = np.flatnonzero((at + width <= np.repeat(size, size))[: max(0, len(n) - width + 1)])
+            hs = [_mix(rolling(np.array(h, dtype=np.uint64)[n], base, width))[whole].view(np.int64) for h, base in zip(known.hashes, BASES, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(uids, dtype=np.int64), size)[whole]), pa.array(at[whole].astype(np.int32)), *[pa.array(h) for h in hs]], schema=schema)
 
         for b in batches:
-            for uid, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = [w for w in text.as_py().split(" ") if w]
-                n = len(words) - width + 1
-                if n <= 0:
+            for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = [w for w in text.split(" ") if w]
+                if len(words) < width:
                     continue
-                a, c = (_mix(rolling(word_hashes(words, s, m), base, width)).view(np.int64) for base, s, m in zip(BASES, SEEDS, memos, strict=True))
-                parts.append((np.full(n, uid, dtype=np.int64), np.arange(n, dtype=np.int32), a, c))
-                held += n
-                if held >= BATCH:
+                ids += map(known.__getitem__, words)
+                uids.append(uid)
+                sizes.append(len(words))
+                if len(ids) >= BATCH:
                     yield flush()
-                    parts, held = [], 0
-        if held:
+                    ids, uids, sizes = [], [], []
+                    if len(known) > REMEMBERED:
+                        known = Words()
+        if ids:
             yield flush()
 
     return run
