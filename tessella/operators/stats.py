@@ -1,7 +1,7 @@
 """Paired inference over clusters' counts: exchange tests, bootstrap, Holm, and the exact moments of random edits.
 
-Counts are integers and comparisons of F1 are made by cross-multiplication in ``decimal(38,0)``, ties included; an overflow is
-an error, never a wrong answer. Two arms must have the same gold support in every cluster.
+Counts are integers and comparisons of F1 are made by cross-multiplication in ``decimal(38,0)``, ties included, and beyond its
+38 digits by integers of any length. Two arms must have the same gold support in every cluster.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_EXHAUSTIVE = 20
 ARMS = ("tp_a", "fp_a", "fn_a", "tp_b", "fp_b", "fn_b")
@@ -69,6 +70,41 @@ def reaches(n: Column, d: Column, n0: Column, d0: Column) -> Column:
     return s(n) * s(d0) >= s(n0) * s(d)
 
 
+#: Below this sum of denominators all cross-products fit in 38 digits.
+DECIMAL_REACH = 3_000_000_000
+
+
+def at_least_as_far(left: tuple[Column, ...], a: list[int], b: list[int]) -> Column:
+    """Whether |F1(left) - F1(a + b - left)| reaches |F1(a) - F1(b)|, exactly; counts of any size.
+
+    Decimals within the code Spark generates while the products fit, else integers of any length in vectorised Python.
+    """
+    whole = [x + y for x, y in zip(a, b, strict=True)]
+    lit = lambda v: F.lit(v).cast("long")
+    if 2 * whole[0] + whole[1] + whole[2] < DECIMAL_REACH:
+        num, den = difference(left, tuple(lit(w) - c for w, c in zip(whole, left, strict=True)))
+        return reaches(num, den, *difference(tuple(map(lit, a)), tuple(map(lit, b))))
+
+    def f1(t: int, p: int, n: int) -> tuple[int, int]:
+        return (2 * t, 2 * t + p + n) if 2 * t + p + n else (0, 1)
+
+    def apart(x: list[int], y: list[int]) -> tuple[int, int]:
+        (n, d), (m, e) = f1(*x), f1(*y)
+        return abs(n * e - m * d), d * e
+
+    n0, d0 = apart(a, b)
+
+    @F.pandas_udf(T.BooleanType())
+    def far(t: pd.Series, p: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for x in zip(t.tolist(), p.tolist(), n.tolist(), strict=True):
+            k, d = apart(list(x), [w - v for w, v in zip(whole, x, strict=True)])
+            out.append(k * d0 >= n0 * d)
+        return pd.Series(out)
+
+    return far(*left)
+
+
 def exchange_exact(pairs: DataFrame, cluster: str) -> DataFrame:
     """Exhaustive paired exchange over all 2^n swaps of at most 20 clusters, two-sided, ties included.
 
@@ -87,9 +123,7 @@ def exchange_exact(pairs: DataFrame, cluster: str) -> DataFrame:
         left = [c + bit(i) * F.lit(v) if v else c for c, v in zip(left, delta, strict=True)]
     m = masks.select(*[c.alias(f"l{k}") for k, c in enumerate(left)])
     lit = lambda v: F.lit(v).cast("long")
-    num, den = difference(tuple(F.col(f"l{k}") for k in range(3)), tuple(lit(a[k] + b[k]) - F.col(f"l{k}") for k in range(3)))
-    num0, den0 = difference(tuple(map(lit, a)), tuple(map(lit, b)))
-    hits = m.agg(F.count_if(reaches(num, den, num0, den0)).alias("hits"))
+    hits = m.select(at_least_as_far(tuple(F.col(f"l{k}") for k in range(3)), a, b).alias("far")).agg(F.count_if("far").alias("hits"))
     return hits.select(lit(n).alias("clusters"), lit(1 << n).alias("assignments"), "hits", (F.col("hits") / F.lit(float(1 << n))).alias("p"))
 
 
@@ -107,11 +141,9 @@ def exchange_draws(pairs: DataFrame, cluster: str, swaps: DataFrame, draws: int)
     sums = swaps.join(moved, cluster).groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     lit = lambda v: F.lit(int(v)).cast("long")
     left = tuple(F.col(c) + lit(t[f"{c}_a"]) for c in ("tp", "fp", "fn"))
-    right = tuple(lit(t[f"{c}_b"]) - F.col(c) for c in ("tp", "fp", "fn"))
-    num, den = difference(left, right)
-    num0, den0 = difference(tuple(lit(t[f"{c}_a"]) for c in ("tp", "fp", "fn")), tuple(lit(t[f"{c}_b"]) for c in ("tp", "fp", "fn")))
+    far = at_least_as_far(left, *[[int(t[f"{c}_{arm}"]) for c in ("tp", "fp", "fn")] for arm in "ab"])
     # draws without a row leave both arms as they were, which is a tie
-    out = sums.agg((F.count_if(reaches(num, den, num0, den0)) + F.lit(draws) - F.count("*")).alias("hits"))
+    out = sums.select(far.alias("far")).agg((F.count_if("far") + F.lit(draws) - F.count("*")).alias("hits"))
     return out.select(lit(t["clusters"]).alias("clusters"), lit(draws).alias("draws"), "hits", ((F.col("hits") + 1) / F.lit(float(draws + 1))).alias("p"))
 
 

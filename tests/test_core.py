@@ -60,6 +60,18 @@ def test_exchange_by_hand(spark):
     assert stats.exchange_exact(pairs(spark, [tuple(3 * v for v in r) for r in HAND]), "c").first()["p"] == 0.25
     assert stats.exchange_exact(pairs(spark, [r[:3] * 2 for r in HAND]), "c").first()["p"] == 1
     assert stats.exchange_exact(pairs(spark, [(0,) * 6] * 7), "c").first()["p"] == 1
+    big = 10**14
+    assert stats.exchange_exact(pairs(spark, [tuple(big * v for v in r) for r in HAND]), "c").first()["p"] == 0.25
+    near = [(big, 0, 0, big, 0, 0), (big, 1, 0, big, 0, 0), (big, 0, 0, big, 1, 0), (big, 0, 1, big, 0, 1)]  # ties that doubles can't tell
+    assert stats.exchange_exact(pairs(spark, near), "c").first()["p"] == 1
+    for scale in (1, big):
+        rows = [(7 * scale, 1, 2, 7 * scale, 5, 2), (scale, 2, 0, scale, 3, 0), (5 * scale, 1, 1, 5 * scale + 1, 0, 0), (scale, 0, 0, scale, 0, 0)]
+        f1 = lambda x: Fraction(2 * x[0], 2 * x[0] + x[1] + x[2])
+        apart = []
+        for mask in range(16):
+            sides = [[sum(r[i + (3 if (mask >> k & 1) == side else 0)] for k, r in enumerate(rows)) for i in range(3)] for side in (1, 0)]
+            apart.append(abs(f1(sides[0]) - f1(sides[1])))
+        assert stats.exchange_exact(pairs(spark, rows), "c").first()["hits"] == sum(x >= apart[0] for x in apart) < 16
     with pytest.raises(stats.UnequalSupport):
         stats.exchange_exact(pairs(spark, [(1, 0, 0, 1, 0, 1)]), "c")
     with pytest.raises(ValueError):
