@@ -18,80 +18,116 @@ Units with a null or other split are in no case. Null and malformed DOIs match n
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
-import xxhash
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.keys import bare_doi, plain_key
 from tessella.llm.plain_form import plain
-from tessella.operators.skew import attach, pairs_between
+from tessella.llm.setjoin import hot_values
+from tessella.llm.spans import BASES, REMEMBERED, Words, _mix, rolling
+from tessella.operators.skew import attach, lookup_join, pairs_between
 from tessella.session import materialize
 
 N, LEAST_WORDS, NUM, DEN = 5, 20, 4, 5
-SCHEMA = "uid long, split string, corpus string, doi string, key binary, words int, grams array<long>"
-
-
-def shingles(text: str, n: int = N) -> list[int]:
-    """64-bit hashes of the distinct runs of ``n`` blank-separated words, in order of first occurrence."""
-    w = text.split(" ")
-    seen = dict.fromkeys(" ".join(w[i : i + n]) for i in range(len(w) - n + 1))
-    return [xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass")) - (1 << 63) for g in seen]
-
-
-def _prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import hashlib
-
-    for b in batches:
-        forms = {t: None for t in b["norm_text"]}
-        for t in forms:
-            p = plain(t)
-            words = p.count(" ") + 1 if p else 0
-            forms[t] = (hashlib.sha256(p.encode("utf-8", "surrogatepass")).digest(), words, shingles(p) if words >= LEAST_WORDS else [])
-        made = [forms[t] for t in b["norm_text"]]
-        yield b.drop(columns="norm_text").assign(key=[m[0] for m in made], words=pd.Series([m[1] for m in made], dtype="int32", index=b.index), grams=[m[2] for m in made])
-
-
-def prepared(units: DataFrame) -> DataFrame:
-    """Units of the three splits with their plain form's digest, its words and its 5-gram hashes (from 20 words on)."""
+SCHEMA = pa.schema([("uid", pa.int64()), ("split", pa.string()), ("corpus", pa.string()), ("doi", pa.string()), ("key", pa.binary()), ("words", pa.int32()), ("grams", pa.list_(pa.int64()))])
+DDL = "uid long, split string, corpus string, doi string, key binary, words int, grams array<long>"
+#: Texts that are hashed in one vectorised pass.
+BATCH = 2_000
+
+
+def gram_lists(texts: list[list[str]], known: Words, n: int = N) -> pa.ListArray:
+    """For each text, given as words, the 64-bit hashes of its distinct runs of ``n`` words, in order of first occurrence."""
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    ids = np.array([known[w] for t in texts for w in t], dtype=np.int64)
+    starts = np.cumsum(size) - size
+    at = np.arange(len(ids)) - np.repeat(starts, size)
+    whole = np.flatnonzero((at + n <= np.repeat(size, size))[: max(0, len(ids) - n + 1)])
+    h = _mix(rolling(np.array(known.hashes[0], dtype=np.uint64)[ids], BASES[0], n))[whole].view(np.int64)
+    text = np.repeat(np.arange(len(texts)), size)[whole]
+    order = np.lexsort((np.arange(len(h)), h, text))
+    again = np.zeros(len(h), dtype=bool)
+    again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+    h, text = h[~again], text[~again]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(h))
+
+
+def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Words()
+    for whole in batches:
+        for lo in range(0, whole.num_rows, BATCH):
+            b = whole.slice(lo, BATCH)
+            forms = [plain(t) for t in b.column("norm_text").to_pylist()]
+            words = [f.split(" ") if f else [] for f in forms]
+            cols = [
+                *[b.column(c) for c in SCHEMA.names[:4]],
+                pa.array([hashlib.sha256(f.encode("utf-8", "surrogatepass")).digest() for f in forms], pa.binary()),
+                pa.array([len(w) for w in words], pa.int32()),
+                gram_lists([w if len(w) >= LEAST_WORDS else [] for w in words], known),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, schema=SCHEMA)
+            if len(known) > REMEMBERED:
+                known = Words()
+
+
+def prepared(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Units of the three splits with ``form``, the least uid of their plain form, and the forms with their 5-grams and sides.
+
+    Forms without 5-grams, of fewer than 20 words, aren't among the second.
+    """
     split = plain_key(F.col("split"))
     u = units.select("uid", split.alias("split"), "corpus", bare_doi(F.col("doi")).alias("doi"), "norm_text").where(F.col("split").isin("train", "dev", "test"))
-    return materialize(u.mapInPandas(_prepared, SCHEMA), "prepared")
-
-
-def near_keys(train: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs ``ekey, tkey`` of different plain forms whose 5-gram sets overlap by four fifths."""
-    texts = lambda df: df.where(F.size("grams") > 0).groupBy("key").agg(F.first("grams").alias("grams")).withColumn("c", F.size("grams"))
-    t, e = materialize(texts(train), "train"), materialize(texts(held), "held")
-    te = t.select(F.col("key").alias("tkey"), F.col("c").alias("tc"), F.explode("grams").alias("g"))
-    ee = e.select(F.col("key").alias("ekey"), F.col("c").alias("ec"), F.explode("grams").alias("g"))
-    wanted = ee.select("g").distinct()
-    df = materialize(te.select("g").groupBy("g").agg(F.count("*").alias("n")).join(wanted, "g", "left_semi"), "counts")
-    ranked = ee.join(df, "g", "left").withColumn("r", F.row_number().over(W.partitionBy("ekey").orderBy(F.coalesce("n", F.lit(0)), "g")))
+    p = materialize(u.mapInArrow(_prepared, DDL), "prepared")
+    side = (F.col("split") == "train").cast("int")
+    forms = materialize(p.groupBy("key").agg(F.min("uid").alias("form"), F.count("*").alias("n"), F.max(side).alias("in_train"), F.max(1 - side).alias("in_eval")), "forms")
+    total = forms.agg(F.sum("n")).first()[0] or 0
+    members = materialize(lookup_join(p.select("uid", "split", "corpus", "doi", "key"), forms.select("key", "form", "n"), ["key"], "n", total).drop("key"), "members")
+    texts = p.where(F.size("grams") > 0).select(F.col("uid").alias("form"), "grams").join(forms.select("form", "in_train", "in_eval"), "form")
+    return members, materialize(texts, "texts")
+
+
+def wanted_grams(rows: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
+    """Rows whose gram is wanted; grams of very many rows, found by bounded counts, are filtered by broadcast and not shuffled."""
+    hot = list(hot_values(rows.select("h", F.col("form").alias("uid")), total))
+    cold = rows.where(~F.col("h").isin(hot)).join(wanted, "h", "left_semi") if hot else rows.join(wanted, "h", "left_semi")
+    # at most as many as there are hot values
+    return cold.unionByName(rows.where(F.col("h").isin(hot)).join(F.broadcast(wanted.where(F.col("h").isin(hot))), "h", "left_semi")) if hot else cold
+
+
+def near_forms(texts: DataFrame) -> DataFrame:
+    """Pairs ``eform, tform`` of different forms whose 5-gram sets overlap by four fifths."""
+    flat = texts.select("form", "in_train", "in_eval", F.size("grams").alias("c"), F.explode("grams").alias("h"))
+    ee = flat.where("in_eval = 1").select(F.col("form").alias("eform"), F.col("c").alias("ec"), "h")
+    total = texts.where("in_train = 1").agg(F.sum(F.size("grams").cast("long"))).first()[0] or 0
+    te = materialize(wanted_grams(flat.where("in_train = 1").select("form", "c", "h"), ee.select("h").distinct(), total), "grams").select(F.col("form").alias("tform"), F.col("c").alias("tc"), "h")
+    df = te.groupBy("h").agg(F.count("*").alias("n"))
+    ranked = ee.join(df, "h", "left").withColumn("r", F.row_number().over(W.partitionBy("eform").orderBy(F.coalesce("n", F.lit(0)), "h")))
     # k = floor(c / 5) grams may be missing: of any k + 1 one is in the partner
-    segments = ranked.where((F.col("r") <= F.floor(F.col("ec") * (DEN - NUM) / DEN) + 1) & F.col("n").isNotNull()).select("ekey", "ec", "g", "n")
-    sized = (F.least("ec", "tc") * DEN >= F.greatest("ec", "tc") * NUM) & (F.col("ekey") != F.col("tkey"))
-    met = segments.join(te, "g").where(sized).select("ekey", "tkey").distinct()
-    a = e.select(F.col("key").alias("ekey"), F.col("grams").alias("eg"))
-    b = t.select(F.col("key").alias("tkey"), F.col("grams").alias("tg"))
-    both = met.join(a, "ekey").join(b, "tkey").withColumn("i", F.size(F.array_intersect("eg", "tg")))
-    return both.where(F.col("i") * DEN >= (F.size("eg") + F.size("tg") - F.col("i")) * NUM).select("ekey", "tkey")
+    segments = ranked.where((F.col("r") <= F.floor(F.col("ec") * (DEN - NUM) / DEN) + 1) & F.col("n").isNotNull()).select("eform", "ec", "h")
+    sized = (F.least("ec", "tc") * DEN >= F.greatest("ec", "tc") * NUM) & (F.col("eform") != F.col("tform"))
+    met = segments.join(te, "h").where(sized).select("eform", "tform").distinct()
+    side = lambda c, f, g: texts.where(f"{c} = 1").select(F.col("form").alias(f), F.col("grams").alias(g))
+    both = met.join(side("in_eval", "eform", "eg"), "eform").join(side("in_train", "tform", "tg"), "tform").withColumn("i", F.size(F.array_intersect("eg", "tg")))
+    return both.where(F.col("i") * DEN >= (F.size("eg") + F.size("tg") - F.col("i")) * NUM).select("eform", "tform")
 
 
 def cross_split_pairs(units: DataFrame) -> DataFrame:
     """``eval_uid, train_uid, kind`` of every overlap; kinds are prints_alike, near_same and same_doi."""
-    p = prepared(units)
-    train, held = p.where("split = 'train'"), p.where("split <> 'train'")
-    alike = train.select("key").distinct().join(held.select("key").distinct(), "key").select(F.col("key").alias("ekey"), F.col("key").alias("tkey"), F.lit("prints_alike").alias("kind"))
-    near = near_keys(train, held).withColumn("kind", F.lit("near_same"))
-    keys = materialize(alike.unionByName(near), "keys")
-    texts = attach(attach(keys, "ekey", held, "key", "uid", "eval_uid"), "tkey", train, "key", "uid", "train_uid").select("eval_uid", "train_uid", "kind")
+    members, texts = prepared(units)
+    train, held = members.where("split = 'train'"), members.where("split <> 'train'")
+    alike = train.select("form").distinct().join(held.select("form").distinct(), "form").select(F.col("form").alias("eform"), F.col("form").alias("tform"), F.lit("prints_alike").alias("kind"))
+    near = near_forms(texts).withColumn("kind", F.lit("near_same"))
+    pairs = materialize(alike.unionByName(near), "keys")
+    both = attach(attach(pairs, "eform", held, "form", "uid", "eval_uid"), "tform", train, "form", "uid", "train_uid").select("eval_uid", "train_uid", "kind")
     doi = lambda df: df.where("doi is not null").select("doi", "uid")
     same = pairs_between(doi(held), doi(train), ["doi"], "uid").select(F.col("left_uid").alias("eval_uid"), F.col("right_uid").alias("train_uid"), F.lit("same_doi").alias("kind"))
-    return texts.unionByName(same)
+    return both.unionByName(same)
 
 
 def overlap_report(units: DataFrame) -> DataFrame:
