@@ -32,7 +32,7 @@ from tessella.llm.plain_form import plain
 from tessella.llm.setjoin import hot_values
 from tessella.llm.spans import BASES, REMEMBERED, Words, _mix, rolling
 from tessella.operators.skew import attach, lookup_join, pairs_between
-from tessella.session import materialize
+from tessella.session import materialize, release
 
 N, LEAST_WORDS, NUM, DEN = 5, 20, 4, 5
 SCHEMA = pa.schema([("uid", pa.int64()), ("split", pa.string()), ("corpus", pa.string()), ("doi", pa.string()), ("key", pa.binary()), ("words", pa.int32()), ("grams", pa.list_(pa.int64()))])
@@ -89,7 +89,10 @@ def prepared(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = forms.agg(F.sum("n")).first()[0] or 0
     members = materialize(lookup_join(p.select("uid", "split", "corpus", "doi", "key"), forms.select("key", "form", "n"), ["key"], "n", total).drop("key"), "members")
     texts = p.where(F.size("grams") > 0).select(F.col("uid").alias("form"), "grams").join(forms.select("form", "in_train", "in_eval"), "form")
-    return members, materialize(texts, "texts")
+    texts = materialize(texts, "texts")
+    release(p)
+    release(forms)
+    return members, texts
 
 
 def wanted_grams(rows: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
