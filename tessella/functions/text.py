@@ -47,11 +47,20 @@ def long_words(c: Column) -> Column:
     return F.filter(words(F.lower(c)), lambda w: F.length(w) >= 2)
 
 
+def bound(expression: Column, use) -> Column:
+    """``use`` applied to the value of an expression, which is worked out once however often ``use`` names it, also within its lambdas."""
+    return F.get(F.transform(F.array(expression), use), F.lit(0))
+
+
 def word_grams(tokens: Column, n: int = 5) -> Column:
     """Distinct n-grams of a token array, joined by blanks; empty below n tokens."""
-    last = F.size(tokens) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(tokens.isNull(), None).when(last < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    def grams(t: Column) -> Column:
+        last = F.size(t) - (n - 1)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(t.isNull(), None).when(last < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    return bound(tokens, grams)
 
 
 def occurrences(text: Column, quote: Column) -> Column:
@@ -59,13 +68,18 @@ def occurrences(text: Column, quote: Column) -> Column:
 
     Goes from hit to hit with ``locate``: one test of the text per hit, not per position.
     """
-    n = F.length(quote)
-    hops = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
-        F.struct(F.array().cast("array<int>").alias("at"), F.when(n > 0, F.call_function("locate", quote, text, F.lit(1))).otherwise(F.lit(0)).alias("next")),
-        lambda s, _: F.when(s["next"] == 0, s).otherwise(F.struct(F.array_append(s["at"], s["next"] - 1).alias("at"), F.call_function("locate", quote, text, s["next"] + 1).alias("next"))),
-    )
-    return F.when(text.isNull() | quote.isNull(), None).otherwise(hops["at"])
+
+    def found(x: Column) -> Column:
+        t, q = x["t"], x["q"]
+        n = F.length(q)
+        hops = F.aggregate(
+            F.sequence(F.lit(1), F.greatest(count_occurrences(t, F.substring(q, 1, 1)) + 1, F.lit(1))),
+            F.struct(F.array().cast("array<int>").alias("at"), F.when(n > 0, F.call_function("locate", q, t, F.lit(1))).otherwise(F.lit(0)).alias("next")),
+            lambda s, _: F.when(s["next"] == 0, s).otherwise(F.struct(F.array_append(s["at"], s["next"] - 1).alias("at"), F.call_function("locate", q, t, s["next"] + 1).alias("next"))),
+        )
+        return F.when(t.isNull() | q.isNull(), None).otherwise(hops["at"])
+
+    return bound(F.struct(text.alias("t"), quote.alias("q")), found)
 
 
 def count_occurrences(text: Column, quote: Column) -> Column:
