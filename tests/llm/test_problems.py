@@ -377,6 +377,11 @@ def test_subjects(spark):
     got = rows(subjects.document_subjects(d, lab, sub), "doc_id", "subject")
     assert len(got & truth) / len(truth) > 0.97 and len(got & truth) / len(got) > 0.97 and not {x for x, _ in got} & {1000, 1001, 1002}
     assert subjects.document_subjects(d.limit(0), lab, sub).count() == 0
+    # nothing to tell areas by: no words at all, no labels, one area only
+    bare = spark.createDataFrame([(1, "K0.53Co-II 5.2"), (2, "12"), (2, "12")], "doc_id long, text string")
+    assert subjects.document_subjects(bare, lab, sub).count() == 0
+    assert subjects.document_subjects(d.where("doc_id < 40"), lab.limit(0), sub).count() >= 0
+    assert subjects.document_subjects(d.where("doc_id < 40"), lab, sub.limit(0)).count() == 0
 
 
 def test_held_out_subjects(spark, sf01):
