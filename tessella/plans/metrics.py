@@ -150,9 +150,9 @@ def endpoint_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_scores(spark: SparkSession, d: str) -> DataFrame:
-    """All eight metrics of the predicted documents, summed over the population."""
+    """All eight metrics of the native documents, summed; a prediction of another document is an error."""
     s = _sides(spark, d)
-    return score.prf(records.population_scores(records.document_scores(s, ["doc"]), s.select("doc"), ["doc"]))
+    return score.prf(records.population_scores(records.document_scores(s, ["doc"]), s.where("gold").select("doc"), ["doc"]))
 
 
 def match_witnesses(spark: SparkSession, d: str) -> DataFrame:

@@ -27,14 +27,14 @@ def resolved_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> DataFrame:
+    """Gold and predicted records; all native documents are the population, a missing prediction is an empty one."""
     g = records.resolved(_records(spark, d, 0), gold=True).withColumn("gold", F.lit(True))
     p = records.resolved(_records(spark, d, 1), gold=False).withColumn("gold", F.lit(False))
-    docs = p.select("doc").distinct()
-    return g.join(docs, "doc", "left_semi").unionByName(p)
+    return g.unionByName(p)
 
 
 def native_mention_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions of the predicted documents as multisets, by category."""
+    """Mentions of the native documents as multisets, by category."""
     s = _sides(spark, d).where("kind = 'T'").withColumn("key", records.mention_key(F.col("label"), F.col("segments"))).withColumn("category", records.category(F.col("kind"), F.col("label")))
     return score.prf(score.multiset_counts(s.where("not gold"), s.where("gold"), ["doc", "category", "key"], ["category"], valid="valid").drop("conserved"))
 
@@ -47,7 +47,7 @@ def projected_relation_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_match_global(spark: SparkSession, d: str) -> DataFrame:
-    """Events of each predicted document against its gold ones as whole graphs."""
+    """Events of each native document's predictions against its gold ones as whole graphs."""
     return graph.match_documents(_sides(spark, d), ["doc"], "E")
 
 
