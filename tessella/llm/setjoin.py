@@ -272,16 +272,19 @@ def partnered(df: DataFrame, c: str, num: int, den: int) -> DataFrame:
 
 
 def records_of(sets: DataFrame, value: str, uid: str, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
-    """Records with a chance of a partner, ``uid, c, pre, s1, s2, toks``, and the raw rows of giants if there are any."""
+    """Records with a chance of a partner, ``uid, c, pre, s1, s2, toks``, and the distinct rows of giants and sets that may reach one, if there are any giants."""
     rows = sets.where(F.col(value).isNotNull() & F.col(uid).isNotNull()).select(F.col(uid).cast("long").alias("uid"), F.xxhash64(value).alias("h"))
     sizes = rows.groupBy("uid").agg(F.count("*").alias("n"))
     total, most = sizes.agg(F.sum("n"), F.max("n")).first()
     giants = None
     if (most or 0) > GIANT:
-        # few (at most total / GIANT), and one long each: Spark broadcasts them below its own limit
-        big = materialize(sizes.where(F.col("n") > GIANT * num // den).select("uid", (F.col("n") > GIANT).alias("_giant")), "big")
-        giants = rows.join(big.select("uid"), "uid", "left_semi")
-        rows = rows.join(big.where("_giant").select("uid"), "uid", "left_anti")
+        # few (at most total / GIANT), and one long each: Spark broadcasts them below its own limit; repeated rows go before sizes are compared
+        large = materialize(sizes.where(F.col("n") > GIANT * num // den).select("uid"), "large")
+        values = materialize(rows.join(large, "uid", "left_semi").distinct(), "values")
+        big = materialize(values.groupBy("uid").agg(F.count("*").alias("n")).where(F.col("n") > GIANT * num // den).select("uid", (F.col("n") > GIANT).alias("_giant")), "big")
+        if big.where("_giant").take(1):
+            giants = values.join(big.select("uid"), "uid", "left_semi")
+            rows = rows.join(big.where("_giant").select("uid"), "uid", "left_anti")
     hot = hot_values(rows, total or 0)
     salt = F.when(F.col("h").isin(list(hot)), F.pmod(F.xxhash64("uid"), F.lit(SALTS)) + 1).otherwise(F.lit(0)) if hot else F.lit(0)
     placed = rows.withColumn("salt", salt.cast("int")).repartition("h", "salt").dropDuplicates(["h", "salt", "uid"])

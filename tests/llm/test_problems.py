@@ -121,6 +121,14 @@ def test_set_join_in_blocks_with_hot_values_and_giants(spark, monkeypatch):
     assert setjoin.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_set_join_with_repeated_rows_of_large_sets(spark, monkeypatch):
+    sets = {1: set(range(200)), 2: set(range(200)), 3: set(range(240)), 4: set(range(1000, 1400)), 5: set(range(1000, 1330)), 6: set(range(2000, 2300)), 7: set(range(2000, 2260))}
+    twice = (1, 2, 3, 4, 6)  # over the bound in rows; only 4 is in values
+    monkeypatch.setattr(setjoin, "GIANT", 350)
+    df = spark.createDataFrame([(f"g{v}", u) for u, s in sets.items() for v in s for _ in range(1 + (u in twice))], "gram string, uid long")
+    assert rows(setjoin.similar_pairs(df), "left_uid", "right_uid") == brute_pairs(sets) == {(1, 2), (1, 3), (2, 3), (4, 5), (6, 7)}
+
+
 def test_divide_skip():
     rng = random.Random(4)
     for _ in range(200):
