@@ -350,13 +350,32 @@ def similar_pairs(sets: DataFrame, value: str = "gram", uid: str = "uid", num: i
     return out.unionByName(giant_pairs(giants, num, den)) if giants is not None else out
 
 
+def giant_classes(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links ``left, right`` between representatives of which one is over GIANT, and the membership ``uid, rep`` of all ``rows``.
+
+    Sets are equal if the count and two order-free digests of their distinct values are.
+    """
+    d = rows.distinct()
+    digests = [F.bit_xor(F.xxhash64(F.lit(k), "h")).alias(f"d{k}") for k in (1, 2)]
+    made = materialize(d.groupBy("uid").agg(F.count("*").alias("c"), *digests), "digests")
+    key = ["c", "d1", "d2"]
+    members = materialize(made.join(made.groupBy(*key).agg(F.min("uid").alias("rep")), key).select("uid", "rep"), "members")
+    own = d.join(members.where("uid = rep").select("uid"), "uid", "left_semi")
+    return giant_pairs(own, num, den).select(F.col("left_uid").alias("left"), F.col("right_uid").alias("right")), members
+
+
 def similar_classes(sets: DataFrame, value: str = "gram", uid: str = "uid", num: int = 4, den: int = 5) -> DataFrame:
     """One row per record with a partner: its class of equal sets, the class's size and its links to other classes.
 
-    The form for corpora in which one set is held by very many records: nothing is expanded. Giants aren't in it.
+    The form for corpora in which one set is held by very many records: nothing is expanded.
     """
-    records, _ = records_of(sets, value, uid, num, den)
+    records, giants = records_of(sets, value, uid, num, den)
     found, members = class_pairs(records, num, den)
+    found, members = found.select("left", "right"), members.select("uid", "rep")
+    if giants is not None:
+        # sets that aren't over GIANT have the same representative, the least uid of their equals, on both sides
+        links, more = giant_classes(giants, num, den)
+        found, members = found.unionByName(links), materialize(members.unionByName(more).distinct(), "members")
     ends = found.select(F.col("left").alias("rep")).unionByName(found.select(F.col("right").alias("rep"))).groupBy("rep").agg(F.count("*").alias("linked_classes"))
     sizes = members.groupBy("rep").agg(F.count("*").alias("members"))
     per = sizes.join(ends, "rep", "left").fillna(0, ["linked_classes"]).where("members > 1 or linked_classes > 0")

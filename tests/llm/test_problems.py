@@ -144,6 +144,21 @@ def test_set_classes(spark):
     assert got == {1: (1, 3, 1), 2: (1, 3, 1), 3: (1, 3, 1), 4: (4, 1, 1)}
 
 
+def test_set_classes_of_giants(spark, monkeypatch):
+    sets = set_rows(6, 60)
+    sets |= {900: set(range(1000, 1400)), 901: set(range(1000, 1400)), 902: set(range(1010, 1400)), 903: set(range(1000, 1330)), 904: set(range(1000, 1330)), 905: set(range(1070, 1400)), 906: set(range(5000, 5400)), 907: set(range(6000, 6340))}
+    monkeypatch.setattr(setjoin, "GIANT", 350)
+    df = spark.createDataFrame([(f"g{v}", u) for u, s in sets.items() for v in s], "gram string, uid long")
+    equal = {}
+    for u in sorted(sets):
+        equal.setdefault(frozenset(sets[u]), []).append(u)
+    rep = {u: us[0] for us in equal.values() for u in us}
+    links = {(rep[a], rep[b]) for a, b in brute_pairs(sets) if rep[a] != rep[b]}
+    links |= {(b, a) for a, b in links}
+    want = {(u, rep[u], len(equal[frozenset(sets[u])]), sum(a == rep[u] for a, _ in links)) for u in sets if sets[u]}
+    assert rows(setjoin.similar_classes(df), "uid", "class_uid", "members", "linked_classes") == {w for w in want if w[2] > 1 or w[3]}
+
+
 # ---- problems 3 and 4
 
 
