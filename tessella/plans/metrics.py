@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text
 from tessella.operators import candidates, edits, graph, records, score, select, stats
-from tessella.plans.native import _sides
+from tessella.plans.native import _records, _sides
 from tessella.plans.scoring import _PRF
 from tessella.sources.tables import table
 
@@ -163,7 +163,7 @@ def match_witnesses(spark: SparkSession, d: str) -> DataFrame:
 
 def nested_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Events of the native records that refer to themselves through others."""
-    s = _sides(spark, d).where("gold")
+    s = records.resolved(_records(spark, d, 0), gold=True)
     e = graph.record_edges(s.where("kind = 'E'"), ["doc"]).where("edge <> 'trigger'")
     return graph.nested_cycles(e, "id", "ref", ["doc"])
 

@@ -51,3 +51,7 @@ def test_signatures_of_documents_without_predictions_are_known(spark, tables):
 def test_prediction_of_a_document_outside_the_population_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="outside the population"):
         metrics.document_scores(spark, folder(spark, tmp_path, FOUND | {3: ["T1\tMaterial 0 4"]})).collect()
+
+
+def test_cycles_of_documents_without_predictions_are_found(spark, tables):
+    assert {(r["doc"], r["node"], r["cycle"]) for r in metrics.nested_cycles(spark, tables).collect()} == {(2, "E1", "E1"), (2, "E2", "E1")}
