@@ -68,13 +68,16 @@ def permuted_within(df: DataFrame, strata: list[str], order: str, value: str, se
 def sampled_product(df: DataFrame, key: list[str], size: str, k: int, salt: str = "") -> DataFrame:
     """Up to ``k`` distinct indices of an implicit population of ``size`` members, by rejection of repeats from a hash stream; the population is never made.
 
-    Each index is the first 15 hex digits of SHA-256(salt, key, j) modulo the size, j counting up; four times ``k`` tries are made, all where the row lies. A
-    population of no more than ``k`` comes out whole.
+    Each index is the first 15 hex digits of SHA-256(salt, key, j) modulo the size, j counting up; four times ``k`` tries are made, all where the row lies. What
+    they leave missing is filled from the other indices (the first ``16 k`` of them at most) in the order of their hashes. A population of no more than ``k`` comes out whole.
     """
     tag = F.concat_ws("|", F.lit(salt), *[F.col(c).cast("string") for c in key])
     tries = F.transform(F.sequence(F.lit(0), F.lit(4 * k - 1)), lambda j: F.conv(F.substring(F.sha2(F.concat_ws("|", tag, j.cast("string")), 256), 1, 15), 16, 10).cast("long") % F.col(size))
+    drawn = F.slice(F.array_distinct(tries), 1, k)
+    rest = F.array_except(F.sequence(F.lit(0).cast("long"), F.greatest(F.least(F.col(size), F.lit(16 * k)) - 1, F.lit(0)).cast("long")), drawn)
+    fill = F.transform(F.array_sort(F.transform(rest, lambda i: F.struct(F.sha2(F.concat_ws("|", tag, F.lit("fill"), i.cast("string")), 256).alias("h"), i.alias("i")))), lambda x: x["i"])
     whole = F.sequence(F.lit(0).cast("long"), F.greatest(F.col(size) - 1, F.lit(0).cast("long")))
-    picked = F.when(F.col(size) <= 0, F.array().cast("array<bigint>")).when(F.col(size) <= k, whole).otherwise(F.slice(F.array_distinct(tries), 1, k))
+    picked = F.when(F.col(size) <= 0, F.array().cast("array<bigint>")).when(F.col(size) <= k, whole).when(F.size(drawn) < k, F.slice(F.concat(drawn, fill), 1, k)).otherwise(drawn)
     return df.select(*key, size, F.explode(picked).alias("index"))
 
 

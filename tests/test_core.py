@@ -276,6 +276,12 @@ def test_sampling(spark):
     assert 1 / 51 <= pv <= 1 and lo <= hi
 
 
+def test_sampled_product_of_little_more_than_the_wanted(spark):
+    df = spark.range(4).select("id", (F.col("id") + 301).alias("n"))
+    got = sample.sampled_product(df, ["id"], "n", 300).groupBy("id").agg(F.countDistinct("index").alias("c"), F.count("*").alias("all"), F.max(F.col("index") - F.col("n")).alias("over"))
+    assert got.where("c = 300 and all = 300 and over < 0").count() == 4
+
+
 # ---- checks, files, streams
 
 
