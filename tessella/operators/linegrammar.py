@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.bulkparse import parser
+from tessella.operators.skew import no_salt
 
 # Reasons, in the order in which they are met.
 REASONS = (
@@ -254,7 +255,7 @@ def checked_lines(parsed: DataFrame, lines: DataFrame, documents: DataFrame, doc
     hot = per.where(F.col("n") > max(1, total // HOT_SHARE)).select("doc_id").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("len", F.lit(0)).alias("hot_len"))
     p = parsed.join(F.broadcast(hot), "doc_id", "left")
     p = p.withColumn("salt", F.when(F.col("hot_len").isNull() & F.col("high").isNotNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("row_id"), F.lit(4096))).cast("int"))
-    p = p.join(lengths.withColumn("salt", F.lit(0)), ["doc_id", "salt"], "left")
+    p = p.join(lengths.withColumn("salt", no_salt(["doc_id"])), ["doc_id", "salt"], "left")
     over = F.coalesce(F.col("high") > F.coalesce("hot_len", "len", F.lit(0)), F.lit(False)) & F.col("code").isin(0, OVERLAP)
     code = F.when(over, F.lit(RANGE)).otherwise(F.col("code"))
     return p.withColumn("code", code).withColumn("reason", reason(F.col("code"))).drop("salt", "len", "hot_len")

@@ -195,6 +195,31 @@ def test_pairs_within_salts_hot_keys(spark):
         assert skew.lookup_join(df, keyed, ["k"], "n", 65, most).count() == 63 and skew.semi_join(df, keyed, ["k"], "n", 65, most).count() == 63
 
 
+def test_hot_keys_spread_without_adaptive_execution(spark):
+    """A third of the rows has one key: no task gets more than its share and a bound."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n, parts = 30_000, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+        keyed = df.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("v"))
+        got = skew.lookup_join(df, keyed, ["k"], "n", n, rows=1000)
+        tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == n and max(tasks) < 1.2 * n / parts
+        few = spark.range(40).select(F.lit(0).cast("long").alias("k"), F.col("id").alias("other"))
+        cells = skew.grid_join(df, few, ["k"], block=500, rows=1000)
+        tasks = [r["count"] for r in cells.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == n // 3 * 40 and max(tasks) < 2 * n // 3 * 40 / parts
+        once = skew.pairs_within(df.where("id < 3000"), ["k"], "id", block=100, rows=100)
+        tasks = [r["count"] for r in once.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 1000 * 999 // 2 and max(tasks) < 2 * 1000 * 999 // 2 / parts
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_near_pairs_and_clusters(spark):
     sets = {1: range(20), 2: range(1, 21), 3: range(3, 23), 4: [100], 5: [100], 6: range(5000)}
     rows = [(u, f"g{v}") for u, s in sets.items() for v in s] + [(1, "g0"), (None, "g1"), (4, None)]
