@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.operators.skew import pairs_within
+from tessella.operators.skew import lookup_join, pairs_within
+from tessella.session import materialize
 
 # Ranges of code points that show nothing (Unicode's Default_Ignorable_Code_Point).
 IGNORABLE = [
@@ -101,16 +102,18 @@ def with_plain_form(df: DataFrame, text: str, out: str = "plain_text", sha: str
 def print_alike_pairs(units: DataFrame, uid: str = "uid", text: str = "norm_text") -> DataFrame:
     """Pairs of units that print alike while their strings differ: ``left_uid < right_uid``.
 
-    Only digests are shuffled. A group of units with one string meets no join; a hot group is salted.
+    Each text is normalised once; only digests are kept and shuffled. A group of units with one string meets no join; a hot group is salted.
     Null texts match nothing; empty and blank texts print alike.
     """
     keyed = units.where(F.col(text).isNotNull()).select(F.col(uid).alias("uid"), F.unhex(F.sha2(plain_form(text), 256)).alias("plain_key"), F.unhex(F.sha2(text, 256)).alias("text_key"))
-    return pairs_within(keyed, ["plain_key"], "uid", differ="text_key")
+    return pairs_within(materialize(keyed, "digests"), ["plain_key"], "uid", differ="text_key")
 
 
 def alike_classes(units: DataFrame, uid: str = "uid", text: str = "norm_text") -> DataFrame:
     """One row per unit: its plain form's digest, the class (smallest uid of it), its members and its spellings."""
-    keyed = units.where(F.col(text).isNotNull()).select(F.col(uid).alias("uid"), F.sha2(plain_form(text), 256).alias("plain_sha"), F.xxhash64(text).alias("_t"))
-    spelt = keyed.groupBy("plain_sha", "_t").agg(F.count("*").alias("n"), F.min("uid").alias("u"))
-    classes = spelt.groupBy("plain_sha").agg(F.min("u").alias("class_uid"), F.sum("n").alias("members"), F.count("*").alias("spellings"))
-    return keyed.select("uid", "plain_sha").join(classes, "plain_sha")
+    keyed = units.where(F.col(text).isNotNull()).select(F.col(uid).alias("uid"), F.unhex(F.sha2(plain_form(text), 256)).alias("k"), F.xxhash64(text).alias("_t"))
+    keyed = materialize(keyed, "digests")
+    spelt = keyed.groupBy("k", "_t").agg(F.count("*").alias("n"), F.min("uid").alias("u"))
+    classes = materialize(spelt.groupBy("k").agg(F.min("u").alias("class_uid"), F.sum("n").alias("members"), F.count("*").alias("spellings"), F.sum("n").alias("n")), "classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    return lookup_join(keyed.select("uid", "k"), classes, ["k"], "n", total).select("uid", F.lower(F.hex("k")).alias("plain_sha"), "class_uid", "members", "spellings")
