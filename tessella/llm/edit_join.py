@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.skew import attach
+from tessella.operators.skew import attach, grid_join
 from tessella.session import materialize
 
 K = 2
@@ -105,7 +105,11 @@ def near_texts(held: DataFrame, train: DataFrame, text: str = "text", k: int = K
     t = train.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).distinct()
     # as many as there are lengths of evaluation texts
     lengths = frozenset(r[0] for r in e.select(F.length("text")).distinct().collect())
-    met = e.mapInPandas(_cut(k), "etext string, h long").join(t.mapInPandas(_probes(k, lengths), "ttext string, h long"), "h").select("etext", "ttext").distinct()
+    cut, probes = materialize(e.mapInPandas(_cut(k), "etext string, h long"), "cut"), t.mapInPandas(_probes(k, lengths), "ttext string, h long")
+    # only probes that some segment answers are kept; a segment as common as an opening is cut in cells
+    n = cut.groupBy("h").agg(F.count("*").alias("nl"))
+    probes = materialize(probes.join(n.select("h"), "h", "left_semi"), "probes")
+    met = grid_join(cut, probes, ["h"], n.join(probes.groupBy("h").agg(F.count("*").alias("nr")), "h")).select("etext", "ttext").distinct()
     return met.mapInPandas(_verified(k), "etext string, ttext string, distance int")
 
 

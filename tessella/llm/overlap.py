@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions.keys import bare_doi, plain_key
 from tessella.llm.plain_form import plain
-from tessella.llm.setjoin import hot_values
 from tessella.llm.spans import BASES, REMEMBERED, Words, _mix, rolling
-from tessella.operators.skew import attach, lookup_join, pairs_between
+from tessella.operators.skew import attach, grid_join, lookup_join, pairs_between, semi_join
 from tessella.session import materialize, release
 
 N, LEAST_WORDS, NUM, DEN = 5, 20, 4, 5
@@ -95,44 +94,73 @@ def prepared(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, texts
 
 
-def wanted_grams(rows: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
-    """Rows whose gram is wanted; grams of very many rows, found by bounded counts, are filtered by broadcast and not shuffled."""
-    hot = list(hot_values(rows.select("h", F.col("form").alias("uid")), total))
-    cold = rows.where(~F.col("h").isin(hot)).join(wanted, "h", "left_semi") if hot else rows.join(wanted, "h", "left_semi")
-    # at most as many as there are hot values
-    return cold.unionByName(rows.where(F.col("h").isin(hot)).join(F.broadcast(wanted.where(F.col("h").isin(hot))), "h", "left_semi")) if hot else cold
-
-
 def near_forms(texts: DataFrame) -> DataFrame:
-    """Pairs ``eform, tform`` of different forms whose 5-gram sets overlap by four fifths."""
+    """Pairs ``eform, tform`` of different forms whose 5-gram sets overlap by four fifths.
+
+    A gram that all copies of a licence hold is hot: rows find their counts by lookup, and segments meet the grams of train in cells.
+    """
     flat = texts.select("form", "in_train", "in_eval", F.size("grams").alias("c"), F.explode("grams").alias("h"))
+    counts = flat.groupBy("h").agg(F.sum("in_eval").alias("ne"), F.sum("in_train").alias("nt"))
+    known = materialize(counts.where("ne > 0 and nt > 0"), "grams")
+    in_eval, in_train = known.agg(F.sum("ne"), F.sum("nt")).first()
     ee = flat.where("in_eval = 1").select(F.col("form").alias("eform"), F.col("c").alias("ec"), "h")
-    total = texts.where("in_train = 1").agg(F.sum(F.size("grams").cast("long"))).first()[0] or 0
-    te = materialize(wanted_grams(flat.where("in_train = 1").select("form", "c", "h"), ee.select("h").distinct(), total), "grams").select(F.col("form").alias("tform"), F.col("c").alias("tc"), "h")
-    df = te.groupBy("h").agg(F.count("*").alias("n"))
-    ranked = ee.join(df, "h", "left").withColumn("r", F.row_number().over(W.partitionBy("eform").orderBy(F.coalesce("n", F.lit(0)), "h")))
-    # k = floor(c / 5) grams may be missing: of any k + 1 one is in the partner
-    segments = ranked.where((F.col("r") <= F.floor(F.col("ec") * (DEN - NUM) / DEN) + 1) & F.col("n").isNotNull()).select("eform", "ec", "h")
+    found = lookup_join(ee, known.select("h", "ne", "nt"), ["h"], "ne", in_eval or 0)
+    # grams that train doesn't have come first by number, and are no probes; k = floor(c / 5) grams may be missing: of any k + 1 one is in the partner
+    each = W.partitionBy("eform")
+    ranked = found.withColumn("r", F.row_number().over(each.orderBy("nt", "h")) + F.col("ec") - F.count("*").over(each))
+    segments = materialize(ranked.where(F.col("r") <= F.floor(F.col("ec") * (DEN - NUM) / DEN) + 1).select("eform", "ec", "h", "nt"), "segments")
+    both = segments.groupBy("h").agg(F.count("*").alias("nl"), F.max("nt").alias("nr"))
+    total = both.agg(F.sum("nr")).first()[0] or 0
+    te = flat.where("in_train = 1").select(F.col("form").alias("tform"), F.col("c").alias("tc"), "h")
+    te = materialize(semi_join(te, both.select("h", "nr"), ["h"], "nr", total), "probes")
     sized = (F.least("ec", "tc") * DEN >= F.greatest("ec", "tc") * NUM) & (F.col("eform") != F.col("tform"))
-    met = segments.join(te, "h").where(sized).select("eform", "tform").distinct()
+    met = grid_join(segments.select("eform", "ec", "h"), te, ["h"], both).where(sized).select("eform", "tform").distinct()
     side = lambda c, f, g: texts.where(f"{c} = 1").select(F.col("form").alias(f), F.col("grams").alias(g))
-    both = met.join(side("in_eval", "eform", "eg"), "eform").join(side("in_train", "tform", "tg"), "tform").withColumn("i", F.size(F.array_intersect("eg", "tg")))
-    return both.where(F.col("i") * DEN >= (F.size("eg") + F.size("tg") - F.col("i")) * NUM).select("eform", "tform")
+    paired = met.join(side("in_eval", "eform", "eg"), "eform").join(side("in_train", "tform", "tg"), "tform").withColumn("i", F.size(F.array_intersect("eg", "tg")))
+    return paired.where(F.col("i") * DEN >= (F.size("eg") + F.size("tg") - F.col("i")) * NUM).select("eform", "tform")
+
+
+def form_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``eform, tform, kind`` of forms met on either side; a form on both sides prints alike with itself."""
+    train, held = members.where("split = 'train'"), members.where("split <> 'train'")
+    alike = train.select("form").distinct().join(held.select("form").distinct(), "form").select(F.col("form").alias("eform"), F.col("form").alias("tform"), F.lit("prints_alike").alias("kind"))
+    return materialize(alike.unionByName(near_forms(texts).withColumn("kind", F.lit("near_same"))), "keys")
 
 
 def cross_split_pairs(units: DataFrame) -> DataFrame:
     """``eval_uid, train_uid, kind`` of every overlap; kinds are prints_alike, near_same and same_doi."""
     members, texts = prepared(units)
     train, held = members.where("split = 'train'"), members.where("split <> 'train'")
-    alike = train.select("form").distinct().join(held.select("form").distinct(), "form").select(F.col("form").alias("eform"), F.col("form").alias("tform"), F.lit("prints_alike").alias("kind"))
-    near = near_forms(texts).withColumn("kind", F.lit("near_same"))
-    pairs = materialize(alike.unionByName(near), "keys")
+    pairs = form_pairs(members, texts)
+    release(texts)
     both = attach(attach(pairs, "eform", held, "form", "uid", "eval_uid"), "tform", train, "form", "uid", "train_uid").select("eval_uid", "train_uid", "kind")
     doi = lambda df: df.where("doi is not null").select("doi", "uid")
     same = pairs_between(doi(held), doi(train), ["doi"], "uid").select(F.col("left_uid").alias("eval_uid"), F.col("right_uid").alias("train_uid"), F.lit("same_doi").alias("kind"))
     return both.unionByName(same)
 
 
+def overlap_classes(units: DataFrame) -> DataFrame:
+    """One row per unit of dev or test that overlaps train, with its classes instead of its partners: nothing is expanded.
+
+    ``uid, split, corpus, class_uid`` (the least uid of its plain form), ``alike`` (train units of that form), ``near_classes`` and ``near``
+    (forms near it in train, and their units), ``same_doi`` (train units under its bare DOI).
+    """
+    members, texts = prepared(units)
+    train, held = members.where("split = 'train'"), members.where("split <> 'train'")
+    pairs = form_pairs(members, texts)
+    sizes = train.groupBy(F.col("form").alias("tform")).agg(F.count("*").alias("n"))
+    per_form = pairs.join(sizes, "tform").groupBy(F.col("eform").alias("form")).agg(
+        *[F.coalesce(F.sum(F.when(F.col("kind") == k, v)), F.lit(0)).cast("long").alias(c) for c, k, v in (("alike", "prints_alike", F.col("n")), ("near_classes", "near_same", F.lit(1)), ("near", "near_same", F.col("n")))]
+    )
+    per_form = materialize(held.groupBy("form").agg(F.count("*").alias("_n")).join(per_form, "form"), "forms")
+    per_doi = train.where("doi is not null").groupBy("doi").agg(F.count("*").alias("same_doi"))
+    per_doi = materialize(held.where("doi is not null").groupBy("doi").agg(F.count("*").alias("_n")).join(per_doi, "doi"), "dois")
+    by_form = lookup_join(held.select("uid", "form"), per_form, ["form"], "_n", per_form.agg(F.sum("_n")).first()[0] or 0).drop("form")
+    by_doi = lookup_join(held.select("uid", "doi"), per_doi, ["doi"], "_n", per_doi.agg(F.sum("_n")).first()[0] or 0).drop("doi")
+    found = by_form.join(by_doi, "uid", "full").fillna(0)
+    return held.select("uid", "split", "corpus", F.col("form").alias("class_uid")).join(found, "uid")
+
+
 def overlap_report(units: DataFrame) -> DataFrame:
     """Overlaps and units in them, by split and corpus of the evaluation unit and by kind."""
     pairs = cross_split_pairs(units)
