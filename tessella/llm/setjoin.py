@@ -4,7 +4,7 @@ Method: T-occurrence list merging over partitioned inverted lists. A record of `
 reach a Jaccard overlap of ``num/den`` with a partner if they share at least ``ceil(num (c + d) / (num + den))`` values.
 
 1. Values become 64-bit hashes. Rows are shuffled once by value, where repeats go and the number of
-   records of each value is counted; a value of more than ``1/4096`` of all rows is salted.
+   records of each value is counted; a value of more than ``1/4096`` of all rows is cut in as many salts as it needs.
 2. Rows are shuffled once by record. A value held by no other record only counts; a record with too few
    others has no partner and leaves. Records' values are kept rarest first.
 3. Records with equal sets collapse to their smallest id.
@@ -17,7 +17,7 @@ reach a Jaccard overlap of ``num/den`` with a partner if they share at least ``c
 Two values of a pair are taken for one only if their 64-bit hashes agree: about 10^-15 for sets of 100.
 
 Null values and null ids are dropped, repeated rows count once. Sets of more than ``GIANT`` values, which one task
-shouldn't hold, are compared among themselves by a salted join of their values. Empty tables give no pairs.
+shouldn't hold, are compared among themselves by prefix and count, in joins only. Empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -33,29 +33,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.operators.skew import attach, pairs_within
+from tessella.operators.skew import attach, grid_join, lookup_join, pairs_within
 from tessella.session import materialize, parallelism
 
 GIANT = 20_000
 BINS = 65_536
 HOT_SHARE = 4_096
-SALTS = 64
+#: Rows of a hot value that meet in one task.
+ROWS = 1_000_000
 #: Values that one cell of the probing stage holds.
 CELL = 400_000
 
 
-def hot_values(rows: DataFrame, total: int) -> dict[int, bool]:
-    """Hashes held by more than ``total / HOT_SHARE`` rows (so at most HOT_SHARE of them): whether two records hold them.
+def hot_values(rows: DataFrame, total: int) -> DataFrame:
+    """``h, k, two`` of the hashes with more than ``total / HOT_SHARE`` rows (so at most HOT_SHARE of them): salts to cut them in, and whether two records hold them.
 
     First rows are counted in ``BINS`` bins, whose number is fixed; only the rows of bins over the bound are counted by value.
     """
     least = max(1000, total // HOT_SHARE)
-    binned = rows.groupBy(F.pmod("h", F.lit(BINS)).alias("bin")).agg(F.count("*").alias("n")).where(F.col("n") > least)
-    bins = [r["bin"] for r in binned.collect()]
-    if not bins:
-        return {}
-    found = rows.where(F.pmod("h", F.lit(BINS)).isin(bins)).groupBy("h").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi"))
-    return {r["h"]: r["lo"] != r["hi"] for r in found.where(F.col("n") > least).collect()}
+    bin_ = F.pmod("h", F.lit(BINS)).alias("bin")
+    bins = rows.groupBy(bin_).agg(F.count("*").alias("n")).where(F.col("n") > least).select("bin")
+    found = rows.withColumn("bin", bin_).join(F.broadcast(bins), "bin", "left_semi").groupBy("h").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi"))
+    return found.where(F.col("n") > least).select("h", F.ceil(F.col("n") / F.lit(ROWS)).cast("int").alias("k"), (F.col("lo") != F.col("hi")).alias("two"))
 
 
 def _records(num: int, den: int):
@@ -285,14 +284,11 @@ def records_of(sets: DataFrame, value: str, uid: str, num: int, den: int) -> tup
         if big.where("_giant").take(1):
             giants = values.join(big.select("uid"), "uid", "left_semi")
             rows = rows.join(big.where("_giant").select("uid"), "uid", "left_anti")
-    hot = hot_values(rows, total or 0)
-    salt = F.when(F.col("h").isin(list(hot)), F.pmod(F.xxhash64("uid"), F.lit(SALTS)) + 1).otherwise(F.lit(0)) if hot else F.lit(0)
-    placed = rows.withColumn("salt", salt.cast("int")).repartition("h", "salt").dropDuplicates(["h", "salt", "uid"])
+    hot = materialize(hot_values(rows, total or 0), "hot")
+    marked = rows.join(F.broadcast(hot), "h", "left") if hot.take(1) else rows.withColumn("k", F.lit(None).cast("int")).withColumn("two", F.lit(None).cast("boolean"))
+    placed = marked.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("uid"), F.col("k")) + 1, F.lit(0)).cast("int")).repartition("h", "salt").dropDuplicates(["h", "salt", "uid"])
     counted = placed.withColumn("n", F.count("*").over(W.partitionBy("h", "salt")))
-    n = F.col("n").cast("int")
-    if hot:
-        shared = [h for h, two in hot.items() if two]
-        n = F.when(F.col("h").isin(shared), F.lit(2**31 - 1)).when(F.col("h").isin(list(hot)), F.lit(1)).otherwise(n) if shared else F.when(F.col("h").isin(list(hot)), F.lit(1)).otherwise(n)
+    n = F.when(F.col("k").isNull(), F.col("n").cast("int")).when(F.col("two"), F.lit(2**31 - 1)).otherwise(F.lit(1))
     # a value of one record only counts: its hash needn't travel
     flat = counted.select("uid", n.alias("n"), "h").select("uid", "n", F.when(F.col("n") > 1, F.col("h")).otherwise(F.lit(0)).alias("h"))
     out = flat.repartition("uid").sortWithinPartitions("uid", "n", "h").mapInArrow(_records(num, den), "uid long, c int, pre int, s1 long, s2 long, toks array<long>")
@@ -300,15 +296,26 @@ def records_of(sets: DataFrame, value: str, uid: str, num: int, den: int) -> tup
 
 
 def giant_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs with a set over GIANT, among the few sets of that order of size; relational, without collecting a set."""
+    """Pairs with a set over GIANT, among the few sets of that order of size; relational, without collecting a set.
+
+    Sets meet by their prefixes, the rarest values of which any partner must hold one, and only those that met are compared.
+    """
     d = rows.distinct()
     sizes = partnered(materialize(d.groupBy("uid").agg(F.count("*").alias("c")), "giants"), "c", num, den)
     if not sizes.take(1):
         return rows.sparkSession.createDataFrame([], "left_uid long, right_uid long, intersection_count long, union_count long")
-    d = d.join(sizes.select("uid"), "uid", "left_semi")
-    met = pairs_within(d, ["h"], "uid").groupBy("left_uid", "right_uid").agg(F.count("*").alias("intersection_count"))
-    met = met.join(sizes.select(F.col("uid").alias("left_uid"), F.col("c").alias("cl")), "left_uid").join(sizes.select(F.col("uid").alias("right_uid"), F.col("c").alias("cr")), "right_uid")
-    met = met.where(F.greatest("cl", "cr") > GIANT).withColumn("union_count", F.col("cl") + F.col("cr") - F.col("intersection_count"))
+    d = materialize(d.join(sizes, "uid"), "giants")
+    held = materialize(d.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").withColumn("m", F.col("n")), "held")
+    shared = lookup_join(d, held, ["h"], "m", held.agg(F.sum("n")).first()[0] or 0)
+    each = W.partitionBy("uid")
+    ranked = shared.withColumn("r", F.row_number().over(each.orderBy("n", "h")) + F.col("c") - F.count("*").over(each))
+    prefix = materialize(ranked.where(F.col("r") <= F.col("c") - F.ceil(F.col("c") * num / den) + 1).select("uid", "c", "h"), "prefix")
+    near = pairs_within(prefix, ["h"], "uid", extra=["c"]).where((F.greatest("left_c", "right_c") > GIANT) & (F.least("left_c", "right_c") * den >= F.greatest("left_c", "right_c") * num)).distinct()
+    near = materialize(near, "near")
+    values = d.select(F.col("uid").alias("left_uid"), "h")
+    both = grid_join(near, values, ["left_uid"]).join(d.select(F.col("uid").alias("right_uid"), "h"), ["right_uid", "h"])
+    met = both.groupBy("left_uid", "right_uid", "left_c", "right_c").agg(F.count("*").alias("intersection_count"))
+    met = met.withColumn("union_count", F.col("left_c") + F.col("right_c") - F.col("intersection_count"))
     return met.where(F.col("intersection_count") * den >= F.col("union_count") * num).select("left_uid", "right_uid", "intersection_count", "union_count")
 
 
@@ -350,6 +357,29 @@ def similar_pairs(sets: DataFrame, value: str = "gram", uid: str = "uid", num: i
     return out.unionByName(giant_pairs(giants, num, den)) if giants is not None else out
 
 
+def similar_between(left: DataFrame, right: DataFrame, value: str = "gram", uid: str = "uid", num: int = 4, den: int = 5) -> DataFrame:
+    """Pairs of a record of ``left`` and one of ``right``, as :func:`similar_pairs`: ``left_uid`` is of the first table, ``right_uid`` of the second.
+
+    Both tables go through one join, so that equal sets of either are one class; ids of one table are told from those of the other by
+    their last bit, and have to lie within 62 bits.
+    """
+    tagged = lambda df, side: df.select((F.col(uid).cast("long") * 2 + side).alias("uid"), F.col(value).alias("value"))
+    records, giants = records_of(tagged(left, 0).unionByName(tagged(right, 1)), "value", "uid", num, den)
+    found, members = class_pairs(records, num, den)
+    found = materialize(found, "pairs")
+    ends = ["intersection_count", "union_count"]
+    either = found.unionByName(found.select(F.col("right").alias("left"), F.col("left").alias("right"), *ends))
+    first, second = members.where("uid % 2 = 0"), members.where("uid % 2 <> 0")
+    out = attach(attach(either, "left", first, "rep", "uid", "a"), "right", second, "rep", "uid", "b").select("a", "b", *ends)
+    same = grid_join(first.select("rep", F.col("uid").alias("a"), F.col("c").cast("long").alias("intersection_count")), second.select("rep", F.col("uid").alias("b")), ["rep"])
+    out = out.unionByName(same.select("a", "b", "intersection_count", F.col("intersection_count").alias("union_count")))
+    if giants is not None:
+        g = giant_pairs(giants, num, den).where("left_uid % 2 <> right_uid % 2")
+        swap = F.col("left_uid") % 2 == 0
+        out = out.unionByName(g.select(F.when(swap, F.col("left_uid")).otherwise(F.col("right_uid")).alias("a"), F.when(swap, F.col("right_uid")).otherwise(F.col("left_uid")).alias("b"), *ends))
+    return out.select(F.shiftright("a", 1).alias("left_uid"), F.shiftright("b", 1).alias("right_uid"), *ends)
+
+
 def giant_classes(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Links ``left, right`` between representatives of which one is over GIANT, and the membership ``uid, rep`` of all ``rows``.
 
