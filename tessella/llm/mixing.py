@@ -14,6 +14,8 @@ Documents without source, with a source that isn't named, and without tokens are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,8 @@ def sized(documents: DataFrame, name: str = DEFAULT, folder: str | None = None)
     return counted.select("key.doc_id", "key.source", "n_tokens")
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, name: str = DEFAULT, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The documents used, ``doc_id, source, n_tokens, repeats``, and the report by source."""
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, name: str = DEFAULT, folder: str | None = None) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The documents used, ``doc_id, source, n_tokens, repeats``, and a function that makes the report by source."""
     t = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("max_repeats"))
     few = t.count() <= MOST_SOURCES
     named = F.broadcast if few else lambda df: df
@@ -53,13 +55,17 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     used = run.join(named(plan.select("source", "epochs", "rest")), "source")
     used = used.withColumn("repeats", (F.col("epochs") + (F.col("before") + F.col("n_tokens") <= F.col("rest")).cast("long")).cast("int")).where("repeats > 0")
     used = used.select("doc_id", "source", "n_tokens", "repeats")
-    taken = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("taken_tokens"), F.count("*").alias("used_documents"), F.max("repeats").alias("most_repeats"))
-    report = plan.join(taken, "source", "left").fillna(0, ["taken_tokens", "used_documents", "most_repeats"])
-    all_tokens = report.agg(F.sum("taken_tokens")).first()[0] or 0
-    report = report.withColumn("all_tokens", F.lit(all_tokens)).select(
-        "source", "target_share", "max_repeats", "documents", "available_tokens", "budget_tokens", "taken_tokens", "used_documents", "most_repeats",
-        F.when(F.col("all_tokens") > 0, F.col("taken_tokens") / F.col("all_tokens")).otherwise(F.lit(0.0)).alias("actual_share"),
-        (F.col("budget_tokens") - F.col("taken_tokens")).alias("shortfall_tokens"),
-        (F.col("available_tokens") * F.col("max_repeats") >= F.col("budget_tokens")).alias("reachable"),
-    )
+
+    def report() -> DataFrame:
+        taken = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("taken_tokens"), F.count("*").alias("used_documents"), F.max("repeats").alias("most_repeats"))
+        out = plan.join(taken, "source", "left").fillna(0, ["taken_tokens", "used_documents", "most_repeats"])
+        all_tokens = out.agg(F.sum("taken_tokens")).first()[0] or 0
+        out = out.withColumn("all_tokens", F.lit(all_tokens)).select(
+            "source", "target_share", "max_repeats", "documents", "available_tokens", "budget_tokens", "taken_tokens", "used_documents", "most_repeats",
+            F.when(F.col("all_tokens") > 0, F.col("taken_tokens") / F.col("all_tokens")).otherwise(F.lit(0.0)).alias("actual_share"),
+            (F.col("budget_tokens") - F.col("taken_tokens")).alias("shortfall_tokens"),
+            (F.col("available_tokens") * F.col("max_repeats") >= F.col("budget_tokens")).alias("reachable"),
+        )
+        return out
+
     return used, report

@@ -33,6 +33,14 @@ def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     return setjoin.similar_classes(table(spark, folder, "grams"))
 
 
+def p2_between(spark: SparkSession, folder: str) -> DataFrame:
+    """Units of train and of the other splits, as two tables, whose gram sets overlap."""
+    split = distinct_units(spark, folder, ["split"]).select("uid", plain_key(F.col("split")).alias("split"))
+    grams = table(spark, folder, "grams")
+    side = lambda *names: grams.join(split.where(F.col("split").isin(*names)).select("uid"), "uid", "left_semi")
+    return setjoin.similar_between(side("train"), side("dev", "test"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = overlap.cross_split_pairs(distinct_units(spark, folder, ["split", "corpus", "doi", "norm_text"]))
     return pairs.select(*overlap.ordered(F.col("eval_uid"), F.col("train_uid"))).distinct()
@@ -42,6 +50,10 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(distinct_units(spark, folder, ["split", "corpus", "doi", "norm_text"]))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.overlap_classes(distinct_units(spark, folder, ["split", "corpus", "doi", "norm_text"]))
+
+
 def p3_short(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs across splits of texts of under 20 words whose plain forms are within two edits."""
     u = distinct_units(spark, folder, ["split", "norm_text"])
@@ -100,7 +112,7 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]()
 
 
 def _subject_tables(spark: SparkSession, folder: str) -> list[DataFrame]:

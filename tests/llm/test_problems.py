@@ -115,7 +115,7 @@ def test_set_join_in_blocks_with_hot_values_and_giants(spark, monkeypatch):
     sets[902] = set(range(1000, 1310))
     monkeypatch.setattr(setjoin, "CELL", 100)
     monkeypatch.setattr(setjoin, "GIANT", 350)
-    monkeypatch.setattr(setjoin, "hot_values", lambda r, t, real=setjoin.hot_values: {h[0]: True for h in r.groupBy("h").count().where("count > 80").select("h").collect()})
+    monkeypatch.setattr(setjoin, "hot_values", lambda r, t: r.groupBy("h").count().where("count > 80").selectExpr("h", "4 as k", "true as two"))
     df = spark.createDataFrame([(f"g{v}", u) for u, s in sets.items() for v in s], "gram string, uid long")
     assert rows(setjoin.similar_pairs(df), "left_uid", "right_uid") == brute_pairs(sets)
     assert setjoin.similar_pairs(df.limit(0)).count() == 0
@@ -129,6 +129,24 @@ def test_set_join_with_repeated_rows_of_large_sets(spark, monkeypatch):
     assert rows(setjoin.similar_pairs(df), "left_uid", "right_uid") == brute_pairs(sets) == {(1, 2), (1, 3), (2, 3), (4, 5), (6, 7)}
 
 
+def test_hot_values_are_cut_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "ROWS", 1000)
+    rows_ = spark.range(6000).selectExpr("if(id % 3 = 0, 7, id) as h", "id as uid").unionByName(spark.range(1500).selectExpr("9000L as h", "-1L as uid"))
+    assert {(r["h"], r["k"], r["two"]) for r in setjoin.hot_values(rows_, 7500).collect()} == {(7, 3, True), (9000, 2, False)}
+
+
+def test_set_join_between_tables(spark, monkeypatch):
+    sets = set_rows(8, 120)
+    sets |= {900: set(range(1000, 1400)), 901: set(range(1000, 1400)), 902: set(range(1020, 1400)), 903: set(range(1000, 1330))}
+    monkeypatch.setattr(setjoin, "GIANT", 350)
+    frame = lambda part: spark.createDataFrame([(f"g{v}", u) for u, s in part.items() for v in s] + [(None, 1), ("g1", None)], "gram string, uid long")
+    a, b = {u: s for u, s in sets.items() if u % 2 == 0}, {u - 1: s for u, s in sets.items() if u % 2}  # ids are in both
+    want = {(x, y, len(s & t), len(s | t)) for x, s in a.items() for y, t in b.items() if 5 * len(s & t) >= 4 * len(s | t)}
+    got = setjoin.similar_between(frame(a), frame(b)).collect()
+    assert len(got) == len(want) > 10 and {tuple(r) for r in got} == want
+    assert setjoin.similar_between(frame(a), frame({})).count() == 0
+
+
 def test_divide_skip():
     rng = random.Random(4)
     for _ in range(200):
@@ -365,6 +383,7 @@ def test_mix(spark):
     df = spark.createDataFrame([(*d, 1, 1) for d in docs], "doc_id long, source string, text string, rank int, before int")
     t = spark.createDataFrame([("a", 0.4, 2), ("b", 0.5, 3), ("c", 0.05, 4), ("gone", 0.05, 2), (None, 0.0, 1)], "source string, target_share double, max_repeats int")
     used, report = mixing.mix(df, t)
+    report = report()
     got, rep = used.collect(), {r["source"]: r.asDict() for r in report.collect()}
     assert len({r["doc_id"] for r in got}) == len(got) and set(rep) == {"a", "b", "c", "gone"}
     most = {"a": 2, "b": 3, "c": 4}
@@ -376,6 +395,7 @@ def test_mix(spark):
     assert not rep["gone"]["reachable"] and rep["gone"]["actual_share"] == 0 and rep["c"]["most_repeats"] == 4
     assert abs(sum(r["actual_share"] for r in rep.values()) - 1) < 1e-9
     used, report = mixing.mix(df.limit(0), t)
+    report = report()
     assert used.count() == 0 and report.count() == 4
 
 
@@ -423,3 +443,39 @@ def test_queries_run_on_the_smallest_tables(spark, sf):
     assert {n.split("_")[0] for n in q} == {f"p{i}" for i in (1, 2, 3, 4, 5, 7, 8, 9, 10)}
     for name, f in q.items():
         assert f(spark, sf).count() >= 0, name
+
+
+def test_subjects_come_through_leaf_mixtures_only(spark, sf01, monkeypatch):
+    """With every leaf's mixture made even nothing of the answer stands."""
+    read = lambda n: spark.read.parquet(f"{sf01}/{n}.parquet")
+    monkeypatch.setattr(subjects, "leaf_mixtures", lambda labels, *_: np.full(labels.shape, 1 / labels.shape[1]))
+    assert subjects.document_subjects(read("documents"), read("subject_labels"), read("subjects")).count() == 0
+
+
+def test_features_of_scripts_without_case_or_blanks():
+    assert len(subjects.features("القانون والعلوم في الجامعة")) == 4
+    assert len(subjects.features("विज्ञान और कानून")) == 3
+    assert len(subjects.features("超伝導材料。")) == 4 and subjects.features("超") and not subjects.features("")
+    assert subjects.features("超伝導材料") == subjects.features("この超伝導材料")[2:]
+    assert subjects.features("steel and Steels, NaCl") == subjects.features("STEEL? no") + subjects.features("steel steels")
+    assert len(subjects.features("re\u0301sume\u0301 e\u0301te\u0301s")) == 2
+
+
+def test_subjects_of_other_scripts(spark):
+    law, science = "القانون المحكمة القاضي الدعوى العقد", "超伝導材料の転移温度を測定した"
+    docs = [(i, " ".join(law.split()[i % 3 :] + [f"x{i}"]) + ".") for i in range(30)] + [(100 + i, science + "。" * (1 + i % 2)) for i in range(30)] + [(200, None), (None, law), (201, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, "law") for i in range(10)] + [(100 + i, "Science ") for i in range(10)] + [(3, None), (None, "law")], "doc_id long, subject string")
+    sub = spark.createDataFrame([("law", "Law", None), ("science", "Science", None), (None, "x", "y")], "subject string, title string, note string")
+    assert rows(subjects.document_subjects(d, lab, sub), "doc_id", "subject") == {(i, "law") for i in range(30)} | {(100 + i, "science") for i in range(30)}
+
+
+def test_overlap_classes_count_what_pairs_list(spark, sf):
+    from tessella.llm.units import distinct_units
+
+    u = distinct_units(spark, sf, ["split", "corpus", "doi", "norm_text"])
+    want = {}
+    for r in overlap.cross_split_pairs(u).collect():
+        want.setdefault(r["eval_uid"], {"prints_alike": 0, "near_same": 0, "same_doi": 0})[r["kind"]] += 1
+    got = {r["uid"]: {"prints_alike": r["alike"], "near_same": r["near"], "same_doi": r["same_doi"]} for r in overlap.overlap_classes(u).collect()}
+    assert got == want
