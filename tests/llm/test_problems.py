@@ -479,3 +479,11 @@ def test_overlap_classes_count_what_pairs_list(spark, sf):
         want.setdefault(r["eval_uid"], {"prints_alike": 0, "near_same": 0, "same_doi": 0})[r["kind"]] += 1
     got = {r["uid"]: {"prints_alike": r["alike"], "near_same": r["near"], "same_doi": r["same_doi"]} for r in overlap.overlap_classes(u).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, sf, name):
+    import oracle
+
+    diff, n = oracle.differs(spark, oracle.views(sf), sf, queries.queries()[name], queries.oracle_sql()[name])
+    assert diff is None and n, diff
