@@ -132,13 +132,17 @@ def pair_supervision(pairs: DataFrame, gold: DataFrame, key: list[str], head: st
     return pairs.join(wide, [*key, head, tail], "left").fillna(0, labels)
 
 
-def alignment(tokens: DataFrame, spans: DataFrame, doc: str) -> DataFrame:
-    """Token-to-span overlaps within a document with weight 1 / (pieces of the span).
+def alignment(tokens: DataFrame, spans: DataFrame, doc: str, chunk: str | None = None) -> DataFrame:
+    """Token-to-span overlaps within a document, with weight 1 / (pieces of the span), or with ``chunk`` 1 / (its pieces in the chunk times the chunks it is met in).
 
-    ``tokens(doc, token, a, b)`` and ``spans(doc, span, begin, end)``; joined by :func:`tessella.operators.intervals.overlaps`.
+    ``tokens(doc, token, a, b)``, a row for each chunk of a token, and ``spans(doc, span, begin, end)``; joined by
+    :func:`tessella.operators.intervals.overlaps`. The weights of a span that is met add up to 1.
     """
     from tessella.operators.intervals import overlaps
 
     hit = overlaps(spans, tokens, [doc], ("begin", "end"), ("a", "b"))
-    pieces = hit.groupBy(doc, "span").agg(F.count("*").alias("pieces"))
-    return hit.join(pieces, [doc, "span"]).withColumn("weight", 1.0 / F.col("pieces"))
+    pieces = hit.groupBy(doc, "span", *([chunk] if chunk else [])).agg(F.count("*").alias("pieces"))
+    if not chunk:
+        return hit.join(pieces, [doc, "span"]).withColumn("weight", 1.0 / F.col("pieces"))
+    chunks = pieces.groupBy(doc, "span").agg(F.count("*").alias("chunks"))
+    return hit.join(pieces.join(chunks, [doc, "span"]), [doc, "span", chunk]).withColumn("weight", 1.0 / (F.col("pieces") * F.col("chunks")))

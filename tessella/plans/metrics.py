@@ -110,25 +110,26 @@ def pair_supervision(spark: SparkSession, d: str) -> DataFrame:
 
 
 def span_supervision(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate spans of four pieces of ten characters against gold segments: labelled candidates, and gold that none reaches."""
+    """Candidate spans of up to 32 pieces of ten characters against gold mentions: labelled candidates, and gold that none reaches, as mentions of several segments."""
     from tessella.plans.annotations import p6_loaded
 
     n = F.floor((F.length("text") - 1) / 10).cast("int")
     docs = table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.transform(F.sequence(F.lit(0), n), lambda i: F.struct((i * 10).alias("a"), (i * 10 + 10).alias("b"))).alias("o"))
-    c = candidates.span_candidates(docs, ["doc_id"], "o", 4)
-    gold = p6_loaded(spark, d).where("kind = 'T' and size(segments) = 1").select("doc_id", F.floor(F.get("segments", F.lit(0))["a"] / 10).cast("int").alias("a"), "segments", "label")
-    gold = gold.select("doc_id", (F.col("a") * 10).alias("begin"), (F.ceil(F.get("segments", F.lit(0))["b"] / 10) * 10).cast("int").alias("end"), "label")
+    c = candidates.span_candidates(docs, ["doc_id"], "o")
+    one = F.when(F.size("segments") == 1, F.get("segments", F.lit(0)))
+    gold = p6_loaded(spark, d).where("kind = 'T'").select("doc_id", (F.floor(one["a"] / 10) * 10).cast("int").alias("begin"), (F.ceil(one["b"] / 10) * 10).cast("int").alias("end"), "label")
     labelled, lost = candidates.span_supervision(c, gold, ["doc_id"], "begin", "end", "label")
     return labelled.groupBy("label").agg(F.count("*").alias("n")).unionByName(lost.agg(F.count("*").alias("n")).select(F.lit("UNREACHED").alias("label"), "n"))
 
 
 def token_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Annotated segments against pieces of seven characters, each piece weighing one over the span's pieces: sums are the spans."""
+    """Annotated segments against pieces of seven characters in chunks of 60 pieces, 40 apart: each piece weighs one over the span's pieces and chunks, so sums are the spans."""
     from tessella.plans.annotations import p6_loaded
 
     spans = p6_loaded(spark, d).where("kind = 'T'").select("doc_id", F.col("row_id").alias("span"), F.posexplode("segments").alias("k", "s")).select("doc_id", F.concat_ws("-", "span", "k").alias("span"), F.col("s.a").alias("begin"), F.col("s.b").alias("end"))
     tok = table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(7))).alias("token", "a")).withColumn("b", F.col("a") + 7)
-    return candidates.alignment(tok, spans, "doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"), F.round(F.sum("weight"), 6).alias("spans"))
+    tok = tok.withColumn("chunk", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("token") - 59) / 40)).cast("int"), F.floor(F.col("token") / 40).cast("int"))))
+    return candidates.alignment(tok, spans, "doc_id", "chunk").groupBy("doc_id").agg(F.count("*").alias("rows"), F.round(F.sum("weight"), 6).alias("spans"))
 
 
 def evidence_gates(spark: SparkSession, d: str) -> DataFrame:
@@ -169,8 +170,11 @@ def nested_cycles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_faults(spark: SparkSession, d: str) -> DataFrame:
-    """Events' property texts by strict reading."""
-    return table(spark, d, "events").select(F.coalesce(text.strict_json_fault("props"), F.lit("sound")).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
+    """Events' property texts by strict reading, some of them broken on purpose: cut short, with a key twice, with a number that isn't finite."""
+    e, props = F.pmod("event_id", F.lit(11)), F.col("props")
+    broken = F.when(e == 3, F.expr("left(props, length(props) - 1)")).when(e == 5, F.lit('{"a": 1, "b": {"k": 1, "k": 2}}')).when(e == 7, F.lit('{"a": [NaN]}')).otherwise(props)
+    planted = table(spark, d, "events").select(F.when(props.isNotNull(), broken).alias("props"))
+    return planted.select(F.coalesce(text.strict_json_fault("props"), F.lit("sound")).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
 
 
 QUERIES = {

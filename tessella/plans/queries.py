@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["scoring", "annotations", "inference", "texts", "provenance", "native", "metrics"]
+MODULES = ["scoring", "annotations", "inference", "texts", "provenance", "native", "metrics", "oracles"]
 
 
 def _modules() -> list:

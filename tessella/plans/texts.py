@@ -57,7 +57,7 @@ def window_owner_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Sentence ends are the members of groups; each group comes out of its first window only."""
     chars = _docs(spark, d).where("text is not null").withColumn("tokens", F.split("text", ""))
     w = candidates.token_windows(chars).select("doc_id", "start", "end")
-    t = table(spark, d, "lineitem").select(F.pmod("l_orderkey", F.lit(1000)).alias("doc_id"), F.pmod(F.col("l_partkey") * 7, F.lit(3000)).cast("int").alias("a"), F.pmod(F.col("l_suppkey") * 11, F.lit(3000)).cast("int").alias("b")).distinct()
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.pmod(F.col("l_partkey") * 7, F.lit(3000)).cast("int").alias("a"), F.pmod(F.col("l_suppkey") * 11, F.lit(3000)).cast("int").alias("b")).distinct()
     g = t.join(w, "doc_id").where((F.least("a", "b") >= F.col("start")) & (F.greatest("a", "b") < F.col("end")))
     return g.where(candidates.owned(F.col("start"), F.array(F.col("a") + 1, F.col("b") + 1))).select("doc_id", "a", "b", "start")
 
@@ -153,7 +153,7 @@ SELECT uid, CASE WHEN regexp_full_match(x, '10\.[0-9]{4,9}/\S+') THEN x END AS b
 FROM (SELECT doc_id, length(text) n, unnest(range(0, length(text), 800)) AS start FROM documents WHERE text IS NOT NULL)""",
     "chunks_510_384": """SELECT doc_id, CAST(s AS INT) AS begin, CAST(least(s + 510, n) AS INT) AS "end" FROM (SELECT doc_id, length(text) n, unnest(range(0, greatest(length(text), 1), 384)) s FROM documents WHERE text IS NOT NULL) WHERE s = 0 OR s - 384 + 510 < n""",
     "window_owner_dedup": """WITH w AS (SELECT doc_id, s, least(s + 1000, n) e FROM (SELECT doc_id, length(text) n, unnest(range(0, length(text), 800)) s FROM documents WHERE text IS NOT NULL)),
-g AS (SELECT DISTINCT l_orderkey % 1000 doc_id, CAST(l_partkey * 7 % 3000 AS INT) a, CAST(l_suppkey * 11 % 3000 AS INT) b FROM lineitem)
+g AS (SELECT DISTINCT l_orderkey doc_id, CAST(l_partkey * 7 % 3000 AS INT) a, CAST(l_suppkey * 11 % 3000 AS INT) b FROM lineitem)
 SELECT doc_id, a, b, CAST(min(s) AS INT) AS start FROM g JOIN w USING (doc_id) WHERE least(a, b) >= s AND greatest(a, b) < e GROUP BY ALL""",
     "span_candidates_le32": f"""WITH t AS (SELECT doc_id, len({_TOK}) n FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, n, unnest(range(1, least(n, 32) + 1)) k FROM t WHERE n > 0)
 SELECT doc_id, CAST(sum(n - k + 1) AS BIGINT) spans, CAST(sum((n - k + 1) * (2 * k - 1)) AS BIGINT) width FROM s GROUP BY 1""",
