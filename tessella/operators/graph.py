@@ -4,22 +4,26 @@ A root's closure is everything its record refers to, directly or through others.
 root, keeps each node's colour (a T's mention, an E's or R's label) and each pair's multiset of edge kinds. The global match pairs predicted
 with gold roots one to one so that all chosen isomorphisms together map every id to one id only, both ways, and takes as many pairs as possible.
 
-Matching is exact or fails: beyond ``budget`` steps it raises. It runs per document; what roots don't share nodes is solved apart.
+Matching is exact or fails: beyond ``budget`` steps it raises, and a document's row has a fault instead of counts. It runs per document; what roots don't share nodes is solved apart.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.operators.grouped import per_group
-from tessella.session import materialize
+from tessella.session import materialize, release
 
 BUDGET = 1_000_000
+#: Tables of nodes first reached in a round that are kept apart.
+MOST_FRONTS = 8
 
 
 def reachable(edges: DataFrame, roots: DataFrame, src: str, dst: str, by: list[str], max_rounds: int = 10_000) -> DataFrame:
@@ -28,13 +32,21 @@ def reachable(edges: DataFrame, roots: DataFrame, src: str, dst: str, by: list[s
     One anti-join with what is known per round; rounds are as many as the longest shortest path. ``by`` keys (the document) keep joins apart.
     """
     e = materialize(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(*by, F.col(src).alias("node"), F.col(dst).alias("to")).distinct(), "edges")
-    seen = front = materialize(roots.select(*by, F.col("root"), F.col("root").alias("node")).where("root is not null").distinct(), "seen")
+    fronts = [materialize(roots.select(*by, F.col("root"), F.col("root").alias("node")).where("root is not null").distinct(), "front")]
     for _ in range(max_rounds):
-        step = front.join(e, [*by, "node"]).select(*by, "root", F.col("to").alias("node")).distinct()
-        front = materialize(step.join(seen, [*by, "root", "node"], "left_anti"), "front")
+        step = fronts[-1].join(e, [*by, "node"]).select(*by, "root", F.col("to").alias("node")).distinct()
+        for f in fronts:
+            step = step.join(f, [*by, "root", "node"], "left_anti")
+        front = materialize(step, "front")
         if not front.take(1):
-            return seen
-        seen = materialize(seen.unionByName(front), "seen")
+            release(front)
+            return reduce(DataFrame.unionByName, fronts)
+        fronts.append(front)
+        if len(fronts) > MOST_FRONTS:  # rounds only add; the tables are merged now and then, so that each is rewritten once in so many rounds
+            whole = materialize(reduce(DataFrame.unionByName, fronts[:-1]), "seen")
+            for f in fronts[:-1]:
+                release(f)
+            fronts = [whole, fronts[-1]]
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
@@ -248,23 +260,48 @@ def closures(rows: pd.DataFrame, family: str) -> tuple[dict[str, Closure], dict[
 RECORDS = ("kind", "id", "label", "spans", "arg1", "arg2", "trigger", "roles", "valid")
 
 
+#: Matches a task remembers by the records they were made of, so that equal documents, as of several systems or settings, are matched once.
+REMEMBERED = 4_096
+
+
 def match_documents(records: DataFrame, key: list[str], family: str = "E", budget: int = BUDGET) -> DataFrame:
-    """``key, tp, fp, fn, local_tp, pairs, mapping`` of each document; ``records`` has both sides, ``gold`` telling them apart.
+    """``key, tp, fp, fn, local_tp, pairs, mapping, fault`` of each document; ``records`` has both sides, ``gold`` telling them apart.
 
     Counts are over all records of the family, invalid ones too. ``spans`` and ``roles`` are written forms. A document without the family on
-    either side comes out with zeros.
+    either side comes out with zeros. Only valid records of documents with valid roots on both sides reach the search; the others are counted. A
+    document whose search exceeds the budget has null counts and the fault ``budget_exceeded``: no part of a result is given.
     """
+    mine, gold, valid = F.col("kind") == family, F.coalesce("gold", F.lit(False)), F.coalesce("valid", F.lit(False))
+    n = records.groupBy(*key).agg(F.count_if(mine & ~gold).alias("_np"), F.count_if(mine & gold).alias("_ng"))
+    each = W.partitionBy(*key)
+    roots = lambda side: F.count_if(mine & valid & side).over(each) > 0
+    placed = records.select(*key, "gold", *RECORDS).repartition(*key).withColumn("_both", roots(gold) & roots(~gold)).where(F.col("_both") & valid).drop("_both")
+    memo: dict[tuple, tuple] = {}
 
     def work(k: tuple, rows: pd.DataFrame) -> list[tuple]:
-        g = rows["gold"].astype(bool)
-        (cp, lp), (cg, lg) = closures(rows[~g], family), closures(rows[g], family)
-        pairs, ids = global_match(cp, cg, lp, lg, budget)
-        n_p, n_g = int((rows.loc[~g, "kind"] == family).sum()), int((rows.loc[g, "kind"] == family).sum())
-        return [(*k, len(pairs), n_p - len(pairs), n_g - len(pairs), local_match(cp, cg, lp, lg, budget), sorted(f"{a}={b}" for a, b in pairs), sorted(f"{a}={b}" for a, b in ids.items()))]
+        print_ = tuple(rows[["gold", *RECORDS]].itertuples(index=False, name=None))
+        if print_ not in memo:
+            if len(memo) >= REMEMBERED:
+                memo.clear()
+            g = rows["gold"].astype(bool)
+            (cp, lp), (cg, lg) = closures(rows[~g], family), closures(rows[g], family)
+            try:
+                pairs, ids = global_match(cp, cg, lp, lg, budget)
+                memo[print_] = (len(pairs), local_match(cp, cg, lp, lg, budget), sorted(f"{a}={b}" for a, b in pairs), sorted(f"{a}={b}" for a, b in ids.items()), None)
+            except BudgetExceeded:
+                memo[print_] = (None, None, None, None, "budget_exceeded")
+        return [(*k, *memo[print_])]
 
     types = dict(records.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in key] + ["tp long", "fp long", "fn long", "local_tp long", "pairs array<string>", "mapping array<string>"])
-    return per_group(records.select(*key, "gold", *RECORDS), key, work, schema, ["gold", "id"])
+    schema = ", ".join([f"{c} {types[c]}" for c in key] + ["_tp long", "_local long", "_pairs array<string>", "_mapping array<string>", "fault string"])
+    found = per_group(placed, key, work, schema, ["gold", "id"], placed=True)
+    out = n.join(found, key, "left")
+    exact = lambda c: F.when(F.col("fault").isNull(), c)
+    tp, none = F.coalesce("_tp", F.lit(0).cast("long")), F.array().cast("array<string>")
+    return out.select(
+        *key, exact(tp).alias("tp"), exact(F.col("_np") - tp).alias("fp"), exact(F.col("_ng") - tp).alias("fn"), exact(F.coalesce("_local", F.lit(0).cast("long"))).alias("local_tp"),
+        exact(F.coalesce("_pairs", none)).alias("pairs"), exact(F.coalesce("_mapping", none)).alias("mapping"), "fault",
+    )
 
 
 def record_edges(records: DataFrame, by: list[str]) -> DataFrame:

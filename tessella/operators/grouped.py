@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def per_group(df: DataFrame, key: list[str], work: Callable[[tuple, pd.DataFrame], list[tuple]], schema: str, order: list[str] = (), batch: int = 2000) -> DataFrame:
+def per_group(df: DataFrame, key: list[str], work: Callable[[tuple, pd.DataFrame], list[tuple]], schema: str, order: list[str] = (), batch: int = 2000, placed: bool = False) -> DataFrame:
     """``work(key, rows)`` of each group gives tuples of ``schema``.
 
-    One shuffle by key; a task holds one group at a time. Only for groups that are one record's own parts, as the lines of one document.
+    One shuffle by key, none if ``df`` is ``placed`` by it already; a task holds one group at a time. Only for groups that are one record's own parts, as the lines of one document.
     """
     names = [f.strip().split(" ")[0] for f in _fields(schema)]
 
@@ -38,7 +38,7 @@ def per_group(df: DataFrame, key: list[str], work: Callable[[tuple, pd.DataFrame
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+    return (df if placed else df.repartition(*key)).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
 
 
 def _fields(ddl: str) -> list[str]:

@@ -6,6 +6,7 @@ A record table has ``doc, occ, id, kind, label, segments, arg1, arg2, trigger, r
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.text import base_role, canonical_json
-from tessella.session import materialize
+from tessella.session import materialize, release
+
+#: Tables of records fallen in a round that are kept apart.
+MOST_FRONTS = 8
 
 # The configured label vocabulary.
 ENTITY_LABELS = ("Characterization", "Material", "Property", "Element", "Process", "Value", "SC", "Main")
@@ -73,16 +77,23 @@ def resolved(df: DataFrame, gold: bool, max_rounds: int = 1000) -> DataFrame:
     fallen = materialize(
         refs.where("ref_kind is null or (as_trigger and ref_kind <> 'T')").groupBy("doc", "occ", "kind", "id").agg(F.bool_or(F.col("ref_kind").isNull()).alias("gone")).select("doc", "occ", "kind", "id", F.when(F.col("gone"), F.lit("dangling_or_invalid_dependency")).otherwise(F.lit("event_trigger_not_T")).alias("why")), "fallen"
     )
-    new = fallen
+    fronts = [fallen]
     for _ in range(max_rounds):
-        if not new.where("kind = 'E'").take(1):
+        if not fronts[-1].where("kind = 'E'").take(1):
             break
-        hit = refs.join(new.where("kind = 'E'").select("doc", F.col("id").alias("ref")), ["doc", "ref"], "left_semi").select("doc", "occ", "kind", "id").distinct()
-        new = materialize(hit.join(fallen, ["doc", "occ"], "left_anti").withColumn("why", F.lit("dangling_or_invalid_dependency")), "fallen")
-        grown = materialize(fallen.unionByName(new), "fallen")
-        fallen = grown
+        hit = refs.join(fronts[-1].where("kind = 'E'").select("doc", F.col("id").alias("ref")), ["doc", "ref"], "left_semi").select("doc", "occ", "kind", "id").distinct()
+        for f in fronts:
+            hit = hit.join(f, ["doc", "occ"], "left_anti")
+        fronts.append(materialize(hit.withColumn("why", F.lit("dangling_or_invalid_dependency")), "fallen"))
+        if len(fronts) > MOST_FRONTS:
+            whole = materialize(reduce(DataFrame.unionByName, fronts[:-1]), "fallen")
+            for f in fronts[:-1]:
+                release(f)
+            fronts = [whole, fronts[-1]]
     else:
         raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+    release(refs)
+    fallen = reduce(DataFrame.unionByName, fronts)
     out = d.join(fallen.select("doc", "occ", "why"), ["doc", "occ"], "left")
     return out.withColumn("issue", F.coalesce("issue", "why")).withColumn("valid", F.col("issue").isNull()).drop("why")
 
@@ -315,12 +326,16 @@ def document_scores(sides: DataFrame, by: list[str], budget: int | None = None)
 
 
 def population_scores(scores: DataFrame, inventory_: DataFrame, by: list[str]) -> DataFrame:
-    """Scores of a declared population of documents summed by metric; a document without any record counts nothing, one that isn't declared is an error."""
+    """Scores of a declared population of documents summed by metric; a document without any record counts nothing, one that isn't declared is an error.
+
+    Documents whose search exceeded its budget are counted as ``faults``; the sums of a metric with any are null, for they would be incomplete.
+    """
     from tessella.operators.checks import require_empty
 
     require_empty(scores.select(*by).distinct().join(inventory_.select(*by), by, "left_anti"), "documents outside the population")
     n = inventory_.select(*by).distinct().count()
-    return scores.groupBy("metric").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")).withColumn("documents", F.lit(n).cast("long"))
+    whole = lambda c: F.when(F.count_if(F.col(c).isNull()) == 0, F.sum(c)).alias(c)
+    return scores.groupBy("metric").agg(whole("tp"), whole("fp"), whole("fn"), F.count_if(F.col("tp").isNull()).alias("faults")).withColumn("documents", F.lit(n).cast("long"))
 
 
 def prompt(parts: list[tuple[str, Column]], data: Column) -> Column:

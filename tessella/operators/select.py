@@ -16,36 +16,51 @@ def argmax(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*by).agg(best).select(*by, "_b.*")
 
 
-def f1_key(tp: str = "tp", fp: str = "fp", fn: str = "fn", places: int = 18) -> Column:
-    """F1 as a decimal whose order is that of the exact fractions as long as 2tp + fp + fn stays below 10^9 / 2; 0 without a denominator.
+_DIGITS = 10**18
 
-    Two different fractions with denominators below D are at least 1/D^2 apart.
+
+def f1_key(tp: str = "tp", fp: str = "fp", fn: str = "fn") -> list[Column]:
+    """F1 as three whole numbers, its first 54 decimals, in whose order the exact fractions are; 0 without a denominator.
+
+    Two different fractions with denominators below 2^63 are more than 10^-38 apart, so counts of any size are told apart.
     """
-    den = 2 * F.col(tp) + F.col(fp) + F.col(fn)
-    wide = lambda c: c.cast("decimal(18,0)")
-    return F.when(den > 0, (wide(2 * F.col(tp)) / wide(den)).cast(f"decimal(38,{places})")).otherwise(F.lit(0).cast(f"decimal(38,{places})"))
+    wide = lambda c: c.cast("decimal(19,0)")
+    den = wide(2 * F.col(tp) + F.col(fp) + F.col(fn))
+    rest, out = wide(2 * F.col(tp)), []
+    for _ in range(3):
+        x = rest * F.lit(_DIGITS).cast("decimal(19,0)")
+        rest = wide(x % den)
+        out.append(F.when(den > 0, ((x - rest) / den).cast("decimal(19,0)").cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
+
+
+def f1_sum(a: list[Column], b: list[Column]) -> list[Column]:
+    """The sum of two keys, carried; exact for denominators below 10^13."""
+    low = a[2] + b[2]
+    mid = a[1] + b[1] + F.when(low >= _DIGITS, 1).otherwise(0)
+    return [a[0] + b[0] + F.when(mid >= _DIGITS, 1).otherwise(0), F.pmod(mid, F.lit(_DIGITS)), F.pmod(low, F.lit(_DIGITS))]
 
 
 def best_threshold(df: DataFrame, by: list[str]) -> DataFrame:
     """Grid rows with tp, fp, fn, threshold, epoch: F1, then fewer false positives, higher threshold, earlier epoch."""
-    return argmax(df, by, [f1_key(), -F.col("fp"), F.col("threshold"), -F.col("epoch")])
+    return argmax(df, by, [*f1_key(), -F.col("fp"), F.col("threshold"), -F.col("epoch")])
 
 
 def best_edit_threshold(df: DataFrame, by: list[str]) -> DataFrame:
     """Rows with tp, fp, fn, the edit counts and threshold: F1, then less harm, fewer edits, higher threshold."""
     harm = F.col("wrong_added") + F.col("correct_deleted")
-    return argmax(df, by, [f1_key(), -harm, -(harm + F.col("correct_added") + F.col("wrong_deleted")), F.col("threshold")])
+    return argmax(df, by, [*f1_key(), -harm, -(harm + F.col("correct_added") + F.col("wrong_deleted")), F.col("threshold")])
 
 
 def best_pair_setting(df: DataFrame, by: list[str]) -> DataFrame:
     """Rows with counts of two endpoints (``*_r``, ``*_e``), two thresholds and epoch: mean F1, fewer false positives in all, then the thresholds, then earlier."""
-    mean = f1_key("tp_r", "fp_r", "fn_r") + f1_key("tp_e", "fp_e", "fn_e")
-    return argmax(df, by, [mean, -(F.col("fp_r") + F.col("fp_e")), F.col("threshold_r"), F.col("threshold_e"), -F.col("epoch")])
+    mean = f1_sum(f1_key("tp_r", "fp_r", "fn_r"), f1_key("tp_e", "fp_e", "fn_e"))
+    return argmax(df, by, [*mean, -(F.col("fp_r") + F.col("fp_e")), F.col("threshold_r"), F.col("threshold_e"), -F.col("epoch")])
 
 
 def best_control(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """F1, then the later name; a tie over all goes by name alone."""
-    return argmax(df, by, [f1_key(), F.col(name)])
+    return argmax(df, by, [*f1_key(), F.col(name)])
 
 
 def hash_subset(df: DataFrame, by: list[str], key: Column, k: int, salt: str = "") -> DataFrame:

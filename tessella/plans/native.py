@@ -147,8 +147,11 @@ def rolling_admission_60s(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paced_admission(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 36e8).alias("now"), F.coalesce(F.floor("value"), F.lit(0)).cast("long").alias("tokens"))
-    return pacing.paced_batch(e, 400, 3)
+    """Users' events as requests, an hour as a second: errors are rate failures, others use four fifths of what they asked for and last up to half a minute."""
+    e, v = table(spark, d, "events"), F.coalesce(F.floor("value"), F.lit(0)).cast("long")
+    outcome = [F.floor(v * 4 / 5).cast("long").alias("used"), F.pmod("event_id", F.lit(30)).cast("double").alias("lasts"), (F.col("event_type") == "error").alias("rate_failure"), F.lit(0.0).alias("retry_after")]
+    e = e.select(F.col("user_id").cast("string").alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 36e8).alias("now"), v.alias("tokens"), *outcome)
+    return pacing.paced_batch(e, 400, 3, 1600)
 
 
 def reply_reassembly(spark: SparkSession, d: str) -> DataFrame:

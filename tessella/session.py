@@ -88,8 +88,9 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _sweep() -> None:
+    """Tables still there when the driver ends; on a remote file system through the session, where it still runs."""
     for spark, path in _written:
-        if urlparse(path).scheme in ("", "file"):
+        if urlparse(path).scheme in ("", "file") or getattr(spark.sparkContext, "_jsc", None) is not None:
             _remove(spark, path)
 
 

@@ -8,6 +8,7 @@ cooldown of 65 s, or longer if asked for.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -74,40 +75,64 @@ class Pace:
                 self.healthy_since = now
 
 
-STATE = "tokens long, requests int, most_tokens long, active int, cooldown_until double, healthy_since double, times array<double>, amounts array<double>"
+#: What a request may bring besides: tokens it will have used, seconds it lasts, whether it ends in a rate failure, and the pause then asked for.
+OUTCOME = (("used", "long"), ("lasts", "double"), ("rate_failure", "boolean"), ("retry_after", "double"))
+STATE = "tokens long, requests int, most_tokens long, cooldown_until double, healthy_since double, times array<double>, amounts array<double>, ends array<double>, starts array<double>, uses array<double>, failures array<boolean>, pauses array<double>"
 OUTPUT = "key string, event_id long, now double, tokens long, admitted boolean, wait_s double, budget long"
 
 
-def _admissions(pace: Pace, rows: pd.DataFrame) -> list[tuple]:
+def _admissions(pace: Pace, rows: pd.DataFrame, going: list[tuple]) -> list[tuple]:
+    """Decisions in order of time. ``going`` is the heap of admitted requests, by their ends; each end before a request is told to the state first."""
     out = []
-    for e, now, tok in zip(rows["event_id"], rows["now"], rows["tokens"], strict=True):
-        pace.active = 0  # replayed requests end at once
-        w = pace.wait(float(now), int(tok))
+    for r in rows.itertuples(index=False):
+        now, tok = float(r.now), int(r.tokens)
+        while going and going[0][0] <= now:
+            end, at, used, failed, pause = heapq.heappop(going)
+            pace.done(end, at, used, failed, pause)
+        w = pace.wait(now, tok)
         if not w:
-            pace.admit(float(now), int(tok))
-        out.append((int(e), float(now), int(tok), w == 0, w, pace.tokens))
+            pace.admit(now, tok)
+            heapq.heappush(going, (now + max(0.0, float(r.lasts)), now, tok if pd.isna(r.used) else float(r.used), bool(r.rate_failure), float(r.retry_after)))
+        out.append((int(r.event_id), now, tok, w == 0, w, pace.tokens))
     return out
 
 
-def paced_stream(events: DataFrame, tokens: int, requests: int):
-    """Admission decisions of a stream of ``key, event_id, now, tokens``, one state per key; late rows are decided when they come."""
+def _requests(events: DataFrame) -> DataFrame:
+    """Requests without an outcome use what they asked for and end at once."""
+    given = {c: F.col(c) if c in events.columns else F.lit(None) for c, _ in OUTCOME}
+    cols = {c: given[c].cast(t) if c == "used" else F.coalesce(given[c].cast(t), F.lit(False if t == "boolean" else 0.0)) for c, t in OUTCOME}
+    return events.select("key", "event_id", "now", "tokens", *[cols[c].alias(c) for c, _ in OUTCOME])
+
+
+def paced_stream(events: DataFrame, tokens: int, requests: int, most_tokens: int | None = None, inflight: int = 2):
+    """Admission decisions of a stream of ``key, event_id, now, tokens`` and outcomes, one state per key; late rows are decided when they come.
+
+    An admitted request holds a place in flight until it ends. Its end replaces the reservation by what was used and lets the budget grow, or, as a
+    rate failure, shrink. A refused request isn't tried again here.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        going: list[tuple] = []
         if state.exists:
-            t, r, m, a, c, h, times, amounts = state.get
-            pace = Pace(t, r, m, active=a, cooldown_until=c, healthy_since=h, entries=[list(x) for x in zip(times, amounts, strict=True)])
+            t, r, m, c, h, times, amounts, *ends = state.get
+            going = [(e, a, u, f, p) for e, a, u, f, p in zip(*ends, strict=True)]
+            pace = Pace(t, r, m, inflight, active=len(going), cooldown_until=c, healthy_since=h, entries=[list(x) for x in zip(times, amounts, strict=True)])
         else:
-            pace = Pace(tokens, requests, tokens)
+            pace = Pace(tokens, requests, most_tokens or tokens, inflight)
         rows = pd.concat(list(batches)).sort_values(["now", "event_id"])
-        made = _admissions(pace, rows)
-        state.update((pace.tokens, pace.requests, pace.most_tokens, pace.active, pace.cooldown_until, pace.healthy_since, [e[0] for e in pace.entries], [float(e[1]) for e in pace.entries]))
+        made = _admissions(pace, rows, going)
+        parts = [list(x) for x in zip(*going, strict=True)] or [[] for _ in range(5)]
+        state.update((pace.tokens, pace.requests, pace.most_tokens, pace.cooldown_until, pace.healthy_since, [e[0] for e in pace.entries], [float(e[1]) for e in pace.entries], parts[0], parts[1], [float(u) for u in parts[2]], parts[3], parts[4]))
         yield pd.DataFrame([(key[0], *m) for m in made], columns=["key", "event_id", "now", "tokens", "admitted", "wait_s", "budget"])
 
-    return events.groupBy("key").applyInPandasWithState(step, OUTPUT, STATE, "append", "NoTimeout")
+    return _requests(events).groupBy("key").applyInPandasWithState(step, OUTPUT, STATE, "append", "NoTimeout")
 
 
-def paced_batch(events: DataFrame, tokens: int, requests: int) -> DataFrame:
-    """The same over a finished table: equal to the stream whatever its batches."""
+def paced_batch(events: DataFrame, tokens: int, requests: int, most_tokens: int | None = None, inflight: int = 2) -> DataFrame:
+    """The same over a finished table: equal to the stream whatever its batches. A task holds one key's rows at a time."""
     from tessella.operators.grouped import per_group
 
-    return per_group(events.select("key", "event_id", "now", "tokens"), ["key"], lambda k, rows: [(*k, *m) for m in _admissions(Pace(tokens, requests, tokens), rows.sort_values(["now", "event_id"]))], OUTPUT, ["now", "event_id"])
+    def work(k: tuple, rows: pd.DataFrame) -> list[tuple]:
+        return [(*k, *m) for m in _admissions(Pace(tokens, requests, most_tokens or tokens, inflight), rows.sort_values(["now", "event_id"]), [])]
+
+    return per_group(_requests(events), ["key"], work, OUTPUT, ["now", "event_id"])

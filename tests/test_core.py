@@ -1,5 +1,6 @@
 """Operators on odd tables: hand values, boundaries, nulls, ties, repeats, empties and clashing names."""
 
+import itertools
 import io
 import json
 import zipfile
@@ -273,6 +274,18 @@ def test_selection_ties(spark):
     assert s.count() == 12 and vals(s, "id") == vals(select.hash_subset(spark.range(100).repartition(7).withColumn("g", F.col("id") % 3), ["g"], F.col("id"), 4), "id")
 
 
+def test_f1_keys_order_counts_of_any_size(spark):
+    from fractions import Fraction
+
+    big = 2**61
+    rows_ = [(1, 1, 1), (2, 2, 2), (0, 0, 0), (0, 5, 5), (7, 0, 0), (big // 2, 3, 4), (big // 2 - 1, 3, 4), (big // 2, 3, 5), (big // 2 + 1, 4, 4), (10**9, 10**9 - 1, 1), (10**9 - 1, 10**9 - 1, 0), (3, 0, 0)]
+    f1 = lambda t, p, n: Fraction(2 * t, 2 * t + p + n) if t + p + n else Fraction(0)
+    df = spark.createDataFrame(rows_, "tp long, fp long, fn long")
+    keys = [tuple(r) for r in df.select(*select.f1_key()).collect()]
+    for i, j in itertools.product(range(len(rows_)), repeat=2):
+        assert (keys[i] < keys[j]) == (f1(*rows_[i]) < f1(*rows_[j])) and (keys[i] == keys[j]) == (f1(*rows_[i]) == f1(*rows_[j])), (rows_[i], rows_[j])
+
+
 def test_edits(spark):
     old, new = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "k string"), spark.createDataFrame([("b",), ("c",)], "k string")
     diff = edits.graph_diff(old, new, ["k"])
@@ -382,8 +395,20 @@ def test_pacing_by_hand():
     assert grow.tokens == 125
 
 
+def test_requests_in_flight_failures_and_growth(spark):
+    rows_ = [  # event, now, tokens, used, lasts, failure, pause
+        (0, 0.0, 10, None, 100.0, False, 0.0), (1, 1.0, 10, None, 100.0, False, 0.0), (2, 2.0, 10, None, 1.0, False, 0.0),  # two in flight: the third waits
+        (3, 101.5, 60, 20, 5.0, False, 0.0), (4, 107.0, 70, 70, 1.0, True, 200.0),  # what was used counts: 20 + 70; the failure halves the budget
+        (5, 120.0, 1, None, 0.0, False, 0.0), (6, 308.5, 40, 40, 0.5, False, 0.0),  # held by the cooldown until 308
+        (7, 620.0, 40, 40, 0.5, False, 0.0), (8, 621.0, 1, None, 0.0, False, 0.0),  # healthy for 300 s with over half used: the budget grows
+    ]
+    df = spark.createDataFrame([("k", *r) for r in rows_], "key string, event_id long, now double, tokens long, used long, lasts double, rate_failure boolean, retry_after double")
+    got = vals(pacing.paced_batch(df, 100, 30, 400), "event_id", "admitted", "wait_s", "budget")
+    assert got == [(0, True, 0.0, 100), (1, True, 0.0, 100), (2, False, 1.0, 100), (3, True, 0.0, 100), (4, True, 0.0, 100), (5, False, 188.0, 50), (6, True, 0.0, 50), (7, True, 0.0, 50), (8, True, 0.0, 62)]
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
-    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").cast("string").alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 36e8).alias("now"), F.coalesce(F.floor("value"), F.lit(0)).cast("long").alias("tokens")).orderBy("now").limit(400)
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").cast("string").alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 36e8).alias("now"), F.coalesce(F.floor("value"), F.lit(0)).cast("long").alias("tokens"), (F.col("event_id") % 90).cast("double").alias("lasts"), (F.col("event_type") == "error").alias("rate_failure")).orderBy("now").limit(400)
     pdf = e.toPandas().sort_values(["now", "event_id"])
     for i, part in enumerate([pdf[:100], pdf[100:250], pdf[250:]]):
         spark.createDataFrame(part).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))

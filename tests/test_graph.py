@@ -70,6 +70,18 @@ def test_budget_fails_rather_than_approximates():
         G.global_match(p, g, lp, lg, budget=2)
 
 
+def test_documents_over_budget_have_a_fault_and_others_their_counts(spark):
+    row = lambda doc, gold, i, kind, trigger=None, roles=None, spans=None: (doc, gold, kind, i, "Doping", spans, None, None, trigger, roles, True)
+    rows = []
+    for gold in (False, True):
+        rows += [row(1, gold, "T1", "T", spans="0 1"), row(1, gold, "E1", "E", "T1", "")]
+        rows += [row(d, gold, f"T{i}", "T", spans="0 1") for d in (2, 3) for i in range(9)] + [row(d, gold, f"E{i}", "E", f"T{i}", f"Site:T{(i + 1) % 9}") for d in (2, 3) for i in range(9)]
+    rows += [row(4, True, "T1", "T", spans="0 1"), row(4, True, "E1", "E", "T1", "")]
+    df = spark.createDataFrame(rows, "doc int, gold boolean, kind string, id string, label string, spans string, arg1 string, arg2 string, trigger string, roles string, valid boolean")
+    got = {r["doc"]: (r["tp"], r["fp"], r["fn"], r["local_tp"], r["fault"]) for r in G.match_documents(df, ["doc"], budget=20).collect()}
+    assert got == {1: (1, 0, 0, 1, None), 2: (None, None, None, None, "budget_exceeded"), 3: (None, None, None, None, "budget_exceeded"), 4: (0, 0, 1, 0, None)}
+
+
 def test_long_chains_need_no_recursion():
     colour = {f"E{i}": ("E", "a") for i in range(3000)} | {"T": ("T", "x", "0 1")}
     out = {f"E{i}": [("trigger", "T"), ("role p", f"E{i + 1}")] for i in range(2999)} | {"E2999": [("trigger", "T")]}
