@@ -169,6 +169,12 @@ def nested_cycles(spark: SparkSession, d: str) -> DataFrame:
     return graph.nested_cycles(e, "id", "ref", ["doc"])
 
 
+def relation_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions and events of the native records that relations lead back to."""
+    e = records.resolved(_records(spark, d, 0), gold=True).where("valid and kind = 'R'").select("doc", F.col("arg1").alias("id"), F.col("arg2").alias("ref"))
+    return graph.nested_cycles(e, "id", "ref", ["doc"])
+
+
 def json_faults(spark: SparkSession, d: str) -> DataFrame:
     """Events' property texts by strict reading, some of them broken on purpose: cut short, with a key twice, with a number that isn't finite."""
     e, props = F.pmod("event_id", F.lit(11)), F.col("props")
@@ -181,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         subset_populations, label_histogram, usage_by_stage, mean_over_seeds, union_of_windows, multiset_intersection, set_difference, optional_metadata, two_endpoint_selection, control_choice,
-        holm_nested, role_groups, window_coverage, pair_supervision, span_supervision, token_alignment, evidence_gates, endpoint_forms, document_scores, match_witnesses, nested_cycles, json_faults,
+        holm_nested, role_groups, window_coverage, pair_supervision, span_supervision, token_alignment, evidence_gates, endpoint_forms, document_scores, match_witnesses, nested_cycles, relation_cycles, json_faults,
     )
 }
 _F1 = "CASE WHEN 2 * {t} + {p} + {n} > 0 THEN 2 * {t} / (2 * {t} + {p} + {n})::DOUBLE ELSE 0 END"

@@ -81,6 +81,9 @@ _COUNTED = f"""SELECT {{by}}, tp, fp, fn, tp + fp AS prediction_count, tp + fn A
 FROM (SELECT doc, {{by}}, key, ok, sum(p) p, sum(g) g FROM m GROUP BY ALL) GROUP BY {{by}})"""
 _SEG = "s AS (SELECT row_id, doc, unnest(segs) AS s FROM glines WHERE kind = 'T' AND reason IS NULL)"
 
+_CYCLES = f"""{_with('g')}, {_EDGES}""".replace("{", "{{").replace("}", "}}") + """, e AS ({edges}), reach AS (SELECT doc, a, b FROM e UNION SELECT r.doc, r.a, e.b FROM reach r JOIN e ON e.doc = r.doc AND e.a = r.b)
+SELECT x.doc, x.a AS node, min(y.b) AS cycle FROM reach x JOIN reach y ON y.doc = x.doc AND y.a = x.a JOIN reach z ON z.doc = x.doc AND z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY ALL"""
+
 QUERIES: dict = {}
 SQL = {
     "p6_found": f"WITH {_lines('g')},{_lines('p')} SELECT 'native_records' AS src, row_id, reason FROM glines WHERE reason IS NOT NULL UNION ALL SELECT 'emissions', row_id, reason FROM plines WHERE reason IS NOT NULL",
@@ -103,8 +106,8 @@ SELECT CASE WHEN surface IS NULL THEN 'missing_reference_text' WHEN surface = re
     "signature_warnings": f"""{_with('g', 'p')}, gs AS (SELECT DISTINCT r.label, a.label AS ta, b.label AS tb FROM g r JOIN g a ON a.doc = r.doc AND a.id = r.arg1 AND a.kind = 'T' AND a.issue IS NULL JOIN g b ON b.doc = r.doc AND b.id = r.arg2 AND b.kind = 'T' AND b.issue IS NULL WHERE r.kind = 'R' AND r.issue IS NULL),
 ps AS (SELECT r.label, a.label AS ta, b.label AS tb FROM p r JOIN p a ON a.doc = r.doc AND a.id = r.arg1 AND a.kind = 'T' AND a.issue IS NULL JOIN p b ON b.doc = r.doc AND b.id = r.arg2 AND b.kind = 'T' AND b.issue IS NULL WHERE r.kind = 'R' AND r.issue IS NULL)
 SELECT label, ta AS arg1_type, tb AS arg2_type, CAST(count(*) AS BIGINT) n FROM ps WHERE NOT EXISTS (SELECT 1 FROM gs WHERE gs.label = ps.label AND gs.ta = ps.ta AND gs.tb = ps.tb) GROUP BY ALL""",
-    "nested_cycles": f"""{_with('g')}, {_EDGES}, e AS (SELECT DISTINCT doc, id AS a, ref AS b FROM live WHERE kind = 'E' AND role IS NOT NULL), reach AS (SELECT doc, a, b FROM e UNION SELECT r.doc, r.a, e.b FROM reach r JOIN e ON e.doc = r.doc AND e.a = r.b)
-SELECT x.doc, x.a AS node, min(y.b) AS cycle FROM reach x JOIN reach y ON y.doc = x.doc AND y.a = x.a JOIN reach z ON z.doc = x.doc AND z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY ALL""",
+    "nested_cycles": _CYCLES.format(edges="SELECT DISTINCT doc, id AS a, ref AS b FROM live WHERE kind = 'E' AND role IS NOT NULL"),
+    "relation_cycles": _CYCLES.format(edges="SELECT DISTINCT doc, arg1 AS a, arg2 AS b FROM g WHERE kind = 'R' AND issue IS NULL"),
     "interval_overlap_pairs": f"""WITH {_lines('g')}, {_SEG}, w AS (SELECT doc_id, unnest(range(0, greatest(length(text), 1), 7)) AS b FROM documents WHERE text IS NOT NULL)
 SELECT doc AS doc_id, CAST(count(*) AS BIGINT) AS "overlaps", CAST(sum(least(s[2], b + 7) - greatest(s[1], b)) AS BIGINT) shared FROM s JOIN w ON doc_id = doc AND s[1] < b + 7 AND s[2] > b GROUP BY 1""",
     "endpoint_forms": f"""WITH {_lines('g')}, {_SEG}, f AS (SELECT s[1] AS a, s[2] AS b, text, substr(text, s[1] + 1, s[2] - s[1]) AS quote FROM s JOIN documents ON doc_id = doc WHERE s[2] > s[1]),
