@@ -165,6 +165,8 @@ CASE WHEN len(w) > 0 THEN coalesce(shared_words, 0) / CAST(len(w) AS DOUBLE) ELS
         "p2_classes": f"""{_MET}, same AS (SELECT left_uid, right_uid FROM m WHERE intersection_count = union_count), c AS (SELECT uid, coalesce(min(left_uid), uid) AS class_uid FROM z LEFT JOIN same ON right_uid = uid GROUP BY uid), k AS (SELECT class_uid, count(*) AS members FROM c GROUP BY 1),
 e AS (SELECT DISTINCT x.class_uid AS a, y.class_uid AS b FROM m JOIN c x ON x.uid = left_uid JOIN c y ON y.uid = right_uid WHERE x.class_uid <> y.class_uid), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), f AS (SELECT a AS class_uid, count(*) AS n FROM b GROUP BY 1)
 SELECT uid, class_uid, CAST(members AS BIGINT) AS members, CAST(coalesce(n, 0) AS BIGINT) AS linked_classes FROM c JOIN k USING (class_uid) LEFT JOIN f USING (class_uid) WHERE members > 1 OR n > 0""",
+        "p2_between": f"""{_MET}, v AS (SELECT uid, lower(trim(split)) AS side FROM units WHERE norm_text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY uid ORDER BY ingested_at DESC NULLS LAST) = 1), b AS (SELECT * FROM m UNION ALL SELECT right_uid, left_uid, intersection_count, union_count FROM m)
+SELECT left_uid, right_uid, intersection_count, union_count FROM b JOIN v x ON x.uid = left_uid JOIN v y ON y.uid = right_uid WHERE x.side = 'train' AND y.side IN ('dev', 'test')""",
         "p5_found": f"WITH RECURSIVE {_TIED}, r AS (SELECT a AS uid, a AS seen FROM e UNION SELECT r.uid, e.b FROM r JOIN e ON e.a = r.seen) SELECT uid, min(seen) AS group_uid FROM r GROUP BY 1",
         "p7_found": f"{_RELATED} SELECT uid, group_id FROM v QUALIFY count(*) OVER (PARTITION BY group_id) > 1",
     }
