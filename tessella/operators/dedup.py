@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.operators.skew import lookup_join, pairs_within
-from tessella.session import materialize, release
+from tessella.operators.skew import lookup_join, pairs_within, semi_join
+from tessella.operators.stars import star_components
+from tessella.session import materialize
 
 
 def eligible(study: str, near: bool) -> Column:
@@ -68,30 +69,17 @@ def near_pairs(grams: DataFrame, uid: str, gram: str, num: int = 4, den: int = 5
 def clusters(nodes: DataFrame, uid: str, edges: DataFrame, left: str, right: str, max_rounds: int = 100) -> DataFrame:
     """``uid, cluster``: connected components, isolated nodes kept, named by their least member.
 
-    Labels spread along edges and jump to the label of their label, so rounds grow with the logarithm of the longest chain. Each
+    Edges are rewritten by large-star and small-star, so rounds follow the logarithm of the largest component, a long chain's too. Each
     round is written to the shared folder. Edges to unknown nodes and null ends tie nothing.
     """
-    ends = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))).select(F.col(left).alias("a"), F.col(right).alias("b"))
-    known = nodes.where(F.col(uid).isNotNull()).select(F.col(uid).alias("u")).distinct()
-    both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both.join(known.withColumnRenamed("u", "a"), "a", "left_semi").join(known.withColumnRenamed("u", "b"), "b", "left_semi"), "edges")
-    degree = materialize(both.groupBy("b").agg(F.count("*").alias("n")), "degrees")
-    ends_n, nodes_n = both.count(), known.count()
-    label = materialize(known.select("u", F.col("u").alias("l")), "labels")
-    for _ in range(max_rounds):
-        near = lookup_join(both, label.select(F.col("u").alias("b"), "l").join(degree, "b"), ["b"], "n", ends_n).groupBy("a").agg(F.min("l").alias("m"))
-        new = label.join(near.withColumnRenamed("a", "u"), "u", "left").select("u", F.least("l", F.coalesce("m", "l")).alias("l"), F.col("l").alias("o"))
-        new = materialize(new, "labels")
-        named = new.groupBy("l").agg(F.count("*").alias("n")).join(new.select(F.col("u").alias("l"), F.col("l").alias("ll")), "l")
-        done = materialize(lookup_join(new, named, ["l"], "n", nodes_n).select("u", F.col("ll").alias("l"), "o"), "labels")
-        release(new)
-        changed = done.where("l <> o").limit(1).count()
-        release(label)
-        label = done.drop("o")
-        label._tessella_path = done._tessella_path
-        if not changed:
-            return label.select(F.col("u").alias(uid), F.col("l").alias("cluster"))
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+    ends = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))).select(F.col(left).alias("a"), F.col(right).alias("b")).distinct()
+    known = materialize(nodes.where(F.col(uid).isNotNull()).select(F.col(uid).alias("u")).distinct(), "nodes")
+    both = ends
+    for end in ("a", "b"):  # an end may hold a third of all edges: they find it by lookup
+        degree = both.groupBy(end).agg(F.count("*").alias("n")).join(known.withColumnRenamed("u", end), end, "left_semi")
+        both = materialize(semi_join(both, degree, [end], "n", both.count()), "edges")
+    group = star_components(both, "a", "b", max_rounds).withColumnsRenamed({"node": "u", "group": "l"})
+    return known.join(group, "u", "left").select(F.col("u").alias(uid), F.coalesce("l", "u").alias("cluster"))
 
 
 def split_overlap(df: DataFrame, split: str, key: str) -> DataFrame:

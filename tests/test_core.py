@@ -232,6 +232,15 @@ def test_near_pairs_and_clusters(spark):
     assert got == {**{i: 0 for i in range(26)}, **{i: i for i in range(26, 40)}, 31: 30}
 
 
+def test_clusters_of_a_long_chain(spark):
+    """A chain whose neighbours' numbers are far apart, of which labels pass one link a round."""
+    order = sorted(range(1, 400), key=lambda i: i * 7919 % 401) + [0]
+    chain = [c for pair in zip(range(400, 800), range(1199, 799, -1), strict=True) for c in pair] + order
+    e = spark.createDataFrame(list(zip(chain[:-1], chain[1:], strict=True)), "a int, b int")
+    got = dict(vals(dedup.clusters(spark.createDataFrame([(i,) for i in range(1201)], "uid int"), "uid", e, "a", "b", 12), "uid", "cluster"))
+    assert got == {**dict.fromkeys(range(1200), 0), 1200: 1200}
+
+
 def test_exact_pairs_and_overlap(spark):
     u = spark.createDataFrame([(1, "s", "test", "x", None), (2, "s", "test", "x", ""), (3, "o", "train", "x", ""), (4, "o", None, "x", "d")], "uid int, corpus string, split string, a string, b string")
     assert vals(dedup.exact_pairs(u, "uid", {"A": "a", "B": "b"}, "s"), "kind", "left_uid", "right_uid") == [("A", 1, 2), ("A", 1, 3), ("A", 1, 4), ("A", 2, 3), ("A", 2, 4)]
