@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import materialize
+
 
 def token_windows(df: DataFrame, tokens: str = "tokens", width: int = 1000, stride: int = 800) -> DataFrame:
     """Adds ``window_id, start, end, window_tokens`` of windows starting at every stride; a last one may lie within the one before.
@@ -118,12 +120,40 @@ def role_groups(df: DataFrame, key: list[str], role: str, member: str, roles: li
     return df.groupBy(*key).agg(*[pick(r) for r in roles])
 
 
-def span_supervision(candidates: DataFrame, gold: DataFrame, key: list[str], begin: str, end: str, label: str, none: str = "NONE") -> tuple[DataFrame, DataFrame]:
-    """Candidates with the gold label at their bounds (else ``none``), and the gold spans no candidate reaches."""
-    on = [*key, begin, end]
-    g = gold.groupBy(*on).agg(F.min(label).alias(label))
-    labelled = candidates.join(g, on, "left").withColumn(label, F.coalesce(label, F.lit(none)))
-    return labelled, gold.join(candidates.select(*on), on, "left_anti")
+def span_supervision(df: DataFrame, gold: DataFrame, key: list[str], offsets: str, begin: str, end: str, label: str, most: int = 32, skip_empty: bool = True, none: str = "NONE") -> tuple[DataFrame, DataFrame]:
+    """The spans of :func:`span_candidates` with the gold label at their bounds (else ``none``), and the gold spans no candidate reaches.
+
+    Gold comes to its document's row, where candidates are made and labelled; they are never shuffled, except those of documents in which pieces
+    share a bound. A document is one row of ``df``. Null bounds reach nothing.
+    """
+    gold = materialize(gold.select(*key, begin, end, label), "gold")
+    by = gold.where(F.col(begin).isNotNull() & F.col(end).isNotNull()).groupBy(*key, begin, end).agg(F.min(label).alias("label"))
+    by = by.groupBy(*key).agg(F.collect_list(F.struct(F.col(begin).alias("begin"), F.col(end).alias("end"), "label")).alias("_gold"))
+    wide = lambda p: (p["b"] > p["a"]) if skip_empty else F.lit(True)
+    used = F.filter(offsets, wide)
+    single = (F.size(F.array_distinct(F.transform(used, lambda p: p["a"]))) == F.size(used)) & (F.size(F.array_distinct(F.transform(used, lambda p: p["b"]))) == F.size(used))
+    docs = df.where(F.size(offsets) > 0).select(*key, F.col(offsets).alias("_o"), single.alias("_single"))
+    docs = materialize(docs.join(by, key, "left"), "supervised")
+
+    i = docs.select(*key, "_o", "_gold", "_single", F.posexplode("_o").alias("first", "_p")).where(wide(F.col("_p")))
+    i = i.select(*key, "_o", "_single", "first", F.col("_p.a").alias(begin), F.when(F.col("_gold").isNotNull(), F.filter("_gold", lambda g: g["begin"] == F.col("_p.a"))).alias("_g"))
+    j = i.withColumn("last", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + most, F.size("_o")) - 1))).withColumn("_q", F.get("_o", F.col("last"))).where(wide(F.col("_q")))
+    met = F.when(F.size("_g") > 0, F.get(F.filter("_g", lambda g: g["end"] == F.col("_q.b")), F.lit(0))["label"])
+    spans = j.select(*key, "_single", "first", "last", begin, F.col("_q.b").alias(end), F.coalesce(met, F.lit(none)).alias(label))
+    first = F.struct("first", "last", label)
+    shared = spans.where("not _single").groupBy(*key, begin, end).agg(F.min(first).alias("_f")).select(*key, "_f.first", "_f.last", begin, end, f"_f.{label}")
+    labelled = spans.where("_single").select(*key, "first", "last", begin, end, label).unionByName(shared)
+
+    def reaches(g: Column) -> Column:
+        at = lambda k: F.exists(F.slice("_o", k + 1, most), lambda q: wide(q) & (q["b"] == g["end"]))
+        starts = F.transform("_o", lambda p: p["a"])
+        one = F.array_position(starts, g["begin"]).cast("int") - 1
+        anywhere = F.exists(F.sequence(F.lit(0), F.size("_o") - 1), lambda k: wide(F.get("_o", k)) & (F.get(starts, k) == g["begin"]) & at(k))
+        sound = F.col("_single") & (F.size(F.filter("_o", wide)) == F.size("_o"))  # the first of a begin is the only one
+        return F.when(sound, (one >= 0) & at(F.greatest(one, F.lit(0)))).otherwise(anywhere)
+
+    reached = docs.where("_gold is not null").select(*key, F.explode(F.filter("_gold", reaches)).alias("_r")).select(*key, F.col("_r.begin").alias(begin), F.col("_r.end").alias(end)).distinct()
+    return labelled, gold.join(reached, [*key, begin, end], "left_anti")
 
 
 def pair_supervision(pairs: DataFrame, gold: DataFrame, key: list[str], head: str, tail: str, label: str, labels: list[str]) -> DataFrame:

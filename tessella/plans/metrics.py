@@ -115,10 +115,9 @@ def span_supervision(spark: SparkSession, d: str) -> DataFrame:
 
     n = F.floor((F.length("text") - 1) / 10).cast("int")
     docs = table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.transform(F.sequence(F.lit(0), n), lambda i: F.struct((i * 10).alias("a"), (i * 10 + 10).alias("b"))).alias("o"))
-    c = candidates.span_candidates(docs, ["doc_id"], "o")
     one = F.when(F.size("segments") == 1, F.get("segments", F.lit(0)))
     gold = p6_loaded(spark, d).where("kind = 'T'").select("doc_id", (F.floor(one["a"] / 10) * 10).cast("int").alias("begin"), (F.ceil(one["b"] / 10) * 10).cast("int").alias("end"), "label")
-    labelled, lost = candidates.span_supervision(c, gold, ["doc_id"], "begin", "end", "label")
+    labelled, lost = candidates.span_supervision(docs, gold, ["doc_id"], "o", "begin", "end", "label")
     return labelled.groupBy("label").agg(F.count("*").alias("n")).unionByName(lost.agg(F.count("*").alias("n")).select(F.lit("UNREACHED").alias("label"), "n"))
 
 

@@ -439,3 +439,23 @@ def test_journal(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert vals(spark.table("journal"), "start", "kind", "n") == vals(journal.event_counts(e, "ts", "kind"), "start", "kind", "n")
+
+
+# ---- supervision of spans
+
+
+def test_span_supervision_shuffles_no_candidates(spark):
+    from pyspark.sql import Row
+
+    one = [Row(a=i, b=i + 1) for i in range(4)]
+    odd = [Row(a=0, b=0), Row(a=0, b=2), Row(a=0, b=2), Row(a=2, b=3)]
+    docs = spark.createDataFrame([(1, one), (2, odd), (3, [])], "d int, o array<struct<a:int,b:int>>")
+    gold = spark.createDataFrame([(1, 0, 2, "y"), (1, 0, 2, "x"), (1, 0, 4, "z"), (1, None, 2, "x"), (2, 0, 3, "x"), (2, 0, 0, "x"), (3, 0, 1, "x"), (9, 0, 1, "x")], "d int, begin int, end int, label string")
+    labelled, lost = candidates.span_supervision(docs, gold, ["d"], "o", "begin", "end", "label", most=3)
+    want = candidates.span_candidates(docs, ["d"], "o", most=3)
+    cols = ("d", "first", "last", "begin", "end")
+    assert vals(labelled, *cols) == vals(want, *cols)
+    assert vals(labelled.where("label <> 'NONE'"), "d", "begin", "end", "label") == [(1, 0, 2, "x"), (2, 0, 3, "x")]
+    assert vals(lost.fillna(-1), "d", "begin", "end") == [(1, -1, 2), (1, 0, 4), (2, 0, 0), (3, 0, 1), (9, 0, 1)]
+    plan = labelled.groupBy("label").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # candidates meet no table; gold came to the documents
