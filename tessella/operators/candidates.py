@@ -123,8 +123,7 @@ def role_groups(df: DataFrame, key: list[str], role: str, member: str, roles: li
 def span_supervision(df: DataFrame, gold: DataFrame, key: list[str], offsets: str, begin: str, end: str, label: str, most: int = 32, skip_empty: bool = True, none: str = "NONE") -> tuple[DataFrame, DataFrame]:
     """The spans of :func:`span_candidates` with the gold label at their bounds (else ``none``), and the gold spans no candidate reaches.
 
-    Gold comes to its document's row, where candidates are made and labelled; they are never shuffled, except those of documents in which pieces
-    share a bound. A document is one row of ``df``. Null bounds reach nothing.
+    Gold comes to its document's row, where candidates are made and labelled; they are never shuffled. A document is one row of ``df``. Null bounds reach nothing.
     """
     gold = materialize(gold.select(*key, begin, end, label), "gold")
     by = gold.where(F.col(begin).isNotNull() & F.col(end).isNotNull()).groupBy(*key, begin, end).agg(F.min(label).alias("label"))
@@ -132,17 +131,24 @@ def span_supervision(df: DataFrame, gold: DataFrame, key: list[str], offsets: st
     wide = lambda p: (p["b"] > p["a"]) if skip_empty else F.lit(True)
     used = F.filter(offsets, wide)
     single = (F.size(F.array_distinct(F.transform(used, lambda p: p["a"]))) == F.size(used)) & (F.size(F.array_distinct(F.transform(used, lambda p: p["b"]))) == F.size(used))
-    docs = df.where(F.size(offsets) > 0).select(*key, F.col(offsets).alias("_o"), single.alias("_single"))
+    ends = F.transform(offsets, lambda p: F.when(wide(p), p["b"]))
+    docs = df.where(F.size(offsets) > 0).select(*key, F.col(offsets).alias("_o"), single.alias("_single"), ends.alias("_ends"))
     docs = materialize(docs.join(by, key, "left"), "supervised")
 
-    i = docs.select(*key, "_o", "_gold", "_single", F.posexplode("_o").alias("first", "_p")).where(wide(F.col("_p")))
-    i = i.select(*key, "_o", "_single", "first", F.col("_p.a").alias(begin), F.when(F.col("_gold").isNotNull(), F.filter("_gold", lambda g: g["begin"] == F.col("_p.a"))).alias("_g"))
-    j = i.withColumn("last", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + most, F.size("_o")) - 1))).withColumn("_q", F.get("_o", F.col("last"))).where(wide(F.col("_q")))
-    met = F.when(F.size("_g") > 0, F.get(F.filter("_g", lambda g: g["end"] == F.col("_q.b")), F.lit(0))["label"])
-    spans = j.select(*key, "_single", "first", "last", begin, F.col("_q.b").alias(end), F.coalesce(met, F.lit(none)).alias(label))
-    first = F.struct("first", "last", label)
-    shared = spans.where("not _single").groupBy(*key, begin, end).agg(F.min(first).alias("_f")).select(*key, "_f.first", "_f.last", begin, end, f"_f.{label}")
-    labelled = spans.where("_single").select(*key, "first", "last", begin, end, label).unionByName(shared)
+    # higher-order functions at pieces only: they are interpreted, and there are most times as many candidates
+    i = docs.select(*key, "_gold", "_single", "_o", "_ends", F.posexplode("_o").alias("first", "_p")).where(wide(F.col("_p")))
+    upto = lambda k: F.least(k + most, F.size("_ends")) - 1
+    earlier = F.filter(F.sequence(F.lit(0), F.col("first")), lambda k: wide(F.get("_o", k)) & (F.get("_o", k)["a"] == F.col("_p.a")))
+    # whether bounds came before: from the same piece to a nearer one, or from an earlier one of the same begin
+    seen = lambda last: F.exists(earlier, lambda k: F.exists(F.sequence(k, upto(k)), lambda m: (F.get("_ends", m) == F.get("_ends", last)) & ((k < F.col("first")) | (m < last))))
+    every = F.sequence(F.col("first"), upto(F.col("first")))
+    lasts = F.when(F.col("_single"), every).otherwise(F.filter(every, lambda last: F.get("_ends", last).isNotNull() & ~seen(last)))
+    here = F.filter("_gold", lambda g: g["begin"] == F.col("_p.a"))
+    labels = F.when(F.exists("_gold", lambda g: g["begin"] == F.col("_p.a")), F.map_from_entries(F.transform(here, lambda g: F.struct(g["end"].alias("k"), g["label"].alias("v")))))
+    i = i.select(*key, "first", F.col("_p.a").alias(begin), "_ends", lasts.alias("_lasts"), labels.alias("_labels"))
+    j = i.select(*key, "first", begin, "_ends", "_labels", F.explode("_lasts").alias("last")).withColumn(end, F.get("_ends", F.col("last"))).where(F.col(end).isNotNull())
+    met = F.when(F.col("_labels").isNotNull(), F.try_element_at("_labels", F.col(end)))
+    labelled = j.select(*key, "first", "last", begin, end, F.coalesce(met, F.lit(none)).alias(label))
 
     def reaches(g: Column) -> Column:
         at = lambda k: F.exists(F.slice("_o", k + 1, most), lambda q: wide(q) & (q["b"] == g["end"]))
