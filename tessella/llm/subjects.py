@@ -2,8 +2,9 @@
 
 1. Documents are cut in sentences and informative words, which are hashed to ``DIMS`` features; document frequencies are counted over all documents.
 2. Normalised tf-idf vectors, projected to ``WIDTH`` random signs, are clustered by bisecting k-means: of all leaves the one is split whose halves
-   gain most. The tree is fitted on ``SAMPLE`` documents drawn by hash (all, where there are no more) in one task; every document is then placed
-   at its nearest leaf, and each leaf's terms are counted over all documents.
+   gain most. The tree is fitted on all documents: nodes of more than ``HELD`` are cut by passes over their vectors, all nodes of a level in the same
+   passes; smaller ones are held by a task each, which grows the tree below them. Vectors are whole numbers and so are their sums, so the tree doesn't
+   depend on how documents are dealt to tasks. Every document is placed at its nearest leaf, and each leaf's terms are counted over all documents.
 3. A leaf's terms are those it has more often than other leaves, by log-odds. Each sentence is placed at the leaves by their terms, softly; a document's
    leaf mixture is that of its sentences, by length.
 4. A leaf's mixture of areas comes from the hand labels of documents, by their leaf mixtures, and from those of its terms that the areas' titles and notes
@@ -19,10 +20,14 @@ Without documents or areas there are no rows. Areas are at most ``MOST_AREAS``,
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache, reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +39,12 @@ from tessella.functions.keys import plain_key
 from tessella.session import materialize, release
 
 DIMS, WIDTH, LEAVES, ROUNDS, TRIES, SEED = 32_768, 192, 96, 6, 3, 11
-#: Documents that the tree is fitted on, at most.
-SAMPLE = 20_000
+#: Documents of a node that one task cuts on, at most.
+HELD = 50_000
+#: Vectors are in whole parts of FINE, centres in whole parts of twice that; products of both, and sums of PART vectors, are then exact in 32-bit floats.
+FINE, PART = 2_000, 4_096
+#: Tasks whose answers the driver joins; those of more are joined in tasks first.
+GATHERED = 16
 #: Tasks that count leaves' terms, each with at most LEAVES * DIMS sums.
 COUNTING = 4_096
 MOST_AREAS = 1_000
@@ -145,72 +154,335 @@ def _vectors(b: pa.RecordBatch, idf: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def _halves(x: np.ndarray, rng: np.random.Generator) -> tuple[float, np.ndarray] | None:
-    """The best of a few cuts in two by k-means, with what it gains: how much longer the halves' sums are than the whole's."""
-    best = None
-    for t in range(TRIES if len(x) > 3 else 0):
-        if t:
-            a, b = x[rng.choice(len(x), 2, replace=False)]
-        else:  # the vector furthest from the centre, and that furthest from it
-            a = x[int((x @ x.mean(0)).argmin())]
-            b = x[int((x @ a).argmin())]
-        for _ in range(ROUNDS):
-            second = x @ (a - b) < 0
-            if second.all() or not second.any():
-                break
-            a, b = (v / max(np.linalg.norm(v), 1e-9) for v in (x[~second].mean(0), x[second].mean(0)))
-        second = x @ (a - b) < 0
-        if second.any() and not second.all():
-            gain = sum(float(np.linalg.norm(x[s].sum(0))) for s in (second, ~second)) - float(np.linalg.norm(x.sum(0)))
-            if best is None or gain > best[0]:
-                best = gain, second
-    return best
-
-
-def bisected(x: np.ndarray, leaves: int, seed: int = SEED) -> np.ndarray:
-    """Unit centres of the leaves of a bisecting k-means over the rows of ``x``; fewer than asked for if nothing is left to split."""
-    rng = np.random.default_rng(seed)
-    held = [np.arange(len(x))]
-    cuts = [_halves(x, rng)]
+def _vectored(idf: np.ndarray):
+    """Adds each document's vector, in whole parts of ``FINE``, as the bytes of 16-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                yield b.append_column("x", _packed(np.rint(_vectors(b, idf) * FINE).astype(np.int16)))
+
+    return run
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    ends = np.arange(len(x) + 1, dtype=np.int32) * (2 * WIDTH)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _unpacked(col: pa.Array) -> np.ndarray:
+    if not len(col):
+        return np.zeros((0, WIDTH), np.int16)
+    first = int(np.frombuffer(col.buffers()[1], np.int32, 1, 4 * col.offset)[0])
+    return np.frombuffer(col.buffers()[2], np.int16, len(col) * WIDTH, first).reshape(-1, WIDTH)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return np.rint(v * (2 * FINE / max(float(np.linalg.norm(v)), 1e-9))).astype(np.float32)
+
+
+@lru_cache(maxsize=1)
+def _odd() -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 63, WIDTH // 4 + TRIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _drawn(x: np.ndarray) -> list[list[tuple[int, bytes]]]:
+    """For each try but the first, the two different vectors of the lowest hashes."""
+    odd, out = _odd(), []
+    h = (np.ascontiguousarray(x).view(np.uint64) * odd[: WIDTH // 4]).sum(1, dtype=np.uint64)
+    for salt in odd[WIDTH // 4 + 1 :]:
+        k = (h ^ salt) * salt
+        k = (k ^ (k >> np.uint64(31))) * odd[0]
+        k ^= k >> np.uint64(29)
+        least, at = np.unique(k, return_index=True)
+        out.append([(int(v), x[i].tobytes()) for v, i in zip(least[:2], at[:2], strict=True)])
+    return out
+
+
+def _answer(x: np.ndarray, ask: dict[str, Any]) -> dict[str, Any]:
+    """What ``PART`` vectors of a node, at most, say to what its cut asks."""
+    y, out = x.astype(np.float32), {}
+    if "all" in ask:
+        out["all"] = len(x), y.sum(0).astype(np.float64)
+    if "far" in ask:  # of equally far ones that of the least bytes
+        v = y @ ask["far"]
+        out["far"] = float(v.min()), min({x[i].tobytes() for i in np.flatnonzero(v == v.min())})
+    if "draw" in ask:
+        out["draw"] = _drawn(x)
+    if "ways" in ask:
+        second = (y @ ask["ways"] < 0).astype(np.float32)
+        out["ways"] = second.sum(0).astype(np.int64), (second.T @ y).astype(np.float64)
+    return out
+
+
+def _joined(p: dict[str, Any], q: dict[str, Any]) -> dict[str, Any]:
+    out = {k: (p[k][0] + q[k][0], p[k][1] + q[k][1]) for k in ("all", "ways") if k in p}
+    if "far" in p:
+        out["far"] = min(p["far"], q["far"])
+    if "draw" in p:
+        out["draw"] = [sorted({*a, *b})[:2] for a, b in zip(p["draw"], q["draw"], strict=True)]
+    return out
+
+
+class _Cut:
+    """A node's cut in two by k-means, the best of ``TRIES``: what it asks of the node's vectors next, and what it makes of the answers.
+
+    The first try begins with the vector furthest from the centre and that furthest from it, the others with vectors drawn by hash. ``best`` is what the
+    cut gains (how much longer the halves' sums are than the whole's), its direction, and number and sum of the vectors in the second half.
+    """
+
+    def __init__(self, n: int, total: np.ndarray):
+        self.n, self.total, self.best = n, total, None
+        self.far, self.first, self.draw = _unit(total), None, TRIES > 1
+        self.ways: dict[int, np.ndarray] = {}
+        self.rounds = [0] * TRIES
+        self.over = n <= 3
+
+    def ask(self) -> dict[str, Any]:
+        out: dict[str, Any] = {"far": self.far} if self.far is not None else {}
+        if self.draw:
+            out["draw"] = True
+        if self.ways:
+            out["ways"] = np.stack([self.ways[t] for t in sorted(self.ways)], axis=1)
+        return out
+
+    def told(self, part: dict[str, Any]) -> None:
+        if "ways" in part:
+            for t, n, second in zip(sorted(self.ways), *part["ways"], strict=True):
+                self._halved(t, int(n), second)
+        vector = lambda b: _unit(np.frombuffer(b, np.int16).astype(np.float64))
+        if "draw" in part:
+            self.draw = False
+            self.ways |= {t: vector(two[0][1]) - vector(two[1][1]) for t, two in enumerate(part["draw"], 1) if len(two) == 2}
+        if "far" in part and self.first is None:
+            self.far = self.first = vector(part["far"][1])
+        elif "far" in part:
+            self.far, self.ways[0] = None, self.first - vector(part["far"][1])
+        self.over = self.far is None and not self.draw and not self.ways
+
+    def _halved(self, t: int, n: int, second: np.ndarray) -> None:
+        way = self.ways.pop(t)
+        if not 0 < n < self.n:
+            return
+        moved = _unit(self.total - second) - _unit(second)
+        if self.rounds[t] < ROUNDS and (moved != way).any():
+            self.rounds[t] += 1
+            self.ways[t] = moved
+            return
+        gain = float(np.linalg.norm(second) + np.linalg.norm(self.total - second) - np.linalg.norm(self.total))
+        if self.best is None or (gain, -t) > (self.best[0], -self.best[4]):
+            self.best = gain, way, n, second, t
+
+
+@dataclass
+class _Node:
+    """Documents of a node and the sum of their vectors; open until its cut is known. ``kids`` are its halves, if it can be cut."""
+
+    n: int
+    total: np.ndarray
+    gain: float = 0.0
+    way: np.ndarray | None = None
+    kids: tuple[int, ...] = ()
+    open: bool = True
+    group: int = -1
+
+
+def _settle(nodes: list[_Node], i: int, cut: _Cut) -> None:
+    """Notes the cut of a node and makes its halves."""
+    node = nodes[i]
+    node.open = False
+    if cut.best:
+        node.gain, node.way, n, second, _ = cut.best
+        node.kids = len(nodes), len(nodes) + 1
+        nodes += [_Node(node.n - n, node.total - second, group=node.group), _Node(n, second, group=node.group)]
+
+
+def _leaves(nodes: list[_Node], leaves: int) -> list[int]:
+    """Leaves of the tree that splits the leaf of most gain again and again, as far as cuts are known.
+
+    An open leaf that isn't among them stays out however the open ones will be cut, as new cuts only take the place of known ones.
+    """
+    held = [0]
     while len(held) < leaves:
-        able = [i for i, c in enumerate(cuts) if c is not None]
+        able = [i for i in held if nodes[i].kids]
+        if not able:
+            break
+        i = max(able, key=lambda k: nodes[k].gain)
+        at = held.index(i)
+        held[at : at + 1] = nodes[i].kids
+    return held
+
+
+def _parts(x: np.ndarray) -> Iterator[np.ndarray]:
+    return (x[at : at + PART] for at in range(0, len(x), PART))
+
+
+def bisected(x: np.ndarray, picks: int) -> list[_Node]:
+    """The tree of bisecting k-means over the vectors ``x``, of which ``picks`` nodes are split at most; their halves' cuts are known too."""
+    x = np.array(x)
+    nodes = [_Node(len(x), x.sum(0, dtype=np.float64))]
+    rows = {0: (0, len(x))}
+
+    def settle(i: int) -> None:
+        own = x[slice(*rows[i])]
+        cut = _Cut(nodes[i].n, nodes[i].total)
+        while not cut.over:
+            ask = cut.ask()
+            cut.told(reduce(_joined, (_answer(p, ask) for p in _parts(own))))
+        _settle(nodes, i, cut)
+
+    settle(0)
+    held = [0]
+    for _ in range(picks):
+        able = [i for i in held if nodes[i].kids]
         if not able:
             break
-        i = max(able, key=lambda k: cuts[k][0])
-        rows, (_, second) = held[i], cuts[i]
-        for at, part in ((i, rows[~second]), (len(held), rows[second])):
-            held[at:at + 1], cuts[at:at + 1] = [part], [_halves(x[part], rng)]
-    centres = np.stack([x[rows].mean(0) for rows in held])
-    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        i = max(able, key=lambda k: nodes[k].gain)
+        lo, hi = rows.pop(i)
+        own = x[lo:hi]
+        second = np.concatenate([p.astype(np.float32) @ nodes[i].way < 0 for p in _parts(own)])
+        own[:] = np.concatenate([own[~second], own[second]])
+        middle = hi - int(second.sum())
+        at = held.index(i)
+        held[at : at + 1] = nodes[i].kids
+        for k, span in zip(nodes[i].kids, ((lo, middle), (middle, hi)), strict=True):
+            rows[k] = span
+            settle(k)
+    return nodes
+
+
+def _grown(picks: dict[int, int]):
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        i = key[0].as_py()
+        x = np.concatenate([_unpacked(c) for c in group.column("x").chunks])
+        return pa.table({"node": pa.array([i], pa.int32()), "part": pa.array([pickle.dumps(bisected(x[x.any(1)], picks[i]))], pa.binary())})
+
+    return run
+
+
+def _rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Vectors by node, batch by batch; those without features are left out, as they are nearest to no centre."""
+    for b in batches:
+        node, x = b.column("node").to_numpy(), _unpacked(b.column("x"))
+        some = np.flatnonzero(x.any(1))
+        some = some[np.argsort(node[some], kind="stable")]
+        ids, n = np.unique(node[some], return_counts=True)
+        for i, end, k in zip(ids.tolist(), np.cumsum(n), n, strict=True):
+            yield i, x[some[end - k : end]]
 
 
-def _fitted(idf: np.ndarray, leaves: int):
+def _answers(asks: dict[int, dict[str, Any]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_vectors(b, idf) for b in batches if b.num_rows]
-        if held:
-            c = bisected(np.concatenate(held), leaves)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c), dtype=np.int32)), pa.array(list(c), pa.list_(pa.float32()))], names=["leaf", "centre"])
+        held: dict[int, dict[str, Any]] = {}
+        for i, x in _rows_of(batches):
+            for p in _parts(x) if i in asks else ():
+                new = _answer(p, asks[i])
+                held[i] = _joined(held[i], new) if i in held else new
+        yield _said(held)
 
     return run
 
 
-def _placed(idf: np.ndarray, centres: np.ndarray):
+def _said(held: dict[int, dict[str, Any]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([pickle.dumps(x) for x in held.values()], pa.binary())], names=["node", "part"])
+
+
+def _heard(rows: Iterable[tuple[int, bytes]]) -> dict[int, dict[str, Any]]:
+    held: dict[int, dict[str, Any]] = {}
+    for i, part in rows:
+        new = pickle.loads(part)
+        held[i] = _joined(held[i], new) if i in held else new
+    return held
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield _said(_heard(x for b in batches for x in zip(b.column("node").to_pylist(), b.column("part").to_pylist(), strict=True)))
+
+
+def _asked(level: DataFrame, asks: dict[int, dict[str, Any]], tasks: int) -> dict[int, dict[str, Any]]:
+    """The answers of all vectors of ``level`` to ``asks`` by node, in one pass."""
+    said = level.mapInArrow(_answers(asks), "node int, part binary")
+    if tasks > GATHERED:
+        said = said.repartition(GATHERED, "node").mapInArrow(_gathered, "node int, part binary")
+    return _heard((r["node"], bytes(r["part"])) for r in said.collect())
+
+
+def _moved(cuts: dict[int, tuple[np.ndarray, tuple[int, ...]]], live: list[int]):
+    """Vectors of cut nodes, at those of their halves that are ``live``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                leaf = (_vectors(b, idf) @ centres.T).argmax(1).astype(np.int32)
-                yield b.append_column("leaf", pa.array(leaf))
+        for i, x in _rows_of(batches):
+            if i not in cuts or not {*cuts[i][1]} & {*live}:
+                continue
+            way, kids = cuts[i]
+            second = np.concatenate([p.astype(np.float32) @ way < 0 for p in _parts(x)])
+            for kid, rows in zip(kids, (x[~second], x[second]), strict=True):
+                if kid in live and len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kid, np.int32)), _packed(rows)], names=["node", "x"])
 
     return run
 
 
-def _leaf_terms(leaves: int):
+def fitted(vectors: DataFrame, leaves: int) -> np.ndarray:
+    """Unit centres of the leaves of a bisecting k-means over all of ``vectors`` (a column ``x``); fewer than asked for if nothing is left to split."""
+    level = vectors.select(F.lit(0).alias("node"), "x")
+    tasks = level.rdd.getNumPartitions()
+    whole = _asked(level, {0: {"all": True}}, tasks)
+    if not whole:
+        return np.zeros((1, WIDTH), np.float32)
+    nodes = [_Node(*whole[0]["all"])]
+    few, many = ([0], []) if nodes[0].n <= HELD else ([], [0])
+    small = [level] if few else []
+    while many:
+        cuts = {i: _Cut(nodes[i].n, nodes[i].total) for i in many}
+        while asks := {i: c.ask() for i, c in cuts.items() if not c.over}:
+            for i, part in _asked(level, asks, tasks).items():
+                cuts[i].told(part)
+        for i, c in cuts.items():
+            _settle(nodes, i, c)
+        ways = {i: (nodes[i].way, nodes[i].kids) for i in many if nodes[i].kids}
+        fresh = {k for _, kids in ways.values() for k in kids} & {*_leaves(nodes, leaves)}
+        held = level
+        few, many = (sorted(i for i in fresh if (nodes[i].n <= HELD) == fits) for fits in (True, False))
+        if few:
+            small.append(materialize(held.mapInArrow(_moved(ways, few), "node int, x binary"), "few"))
+        if many:
+            level = materialize(held.mapInArrow(_moved(ways, many), "node int, x binary"), "level")
+            tasks = level.rdd.getNumPartitions()
+        release(held)
+    _grow(nodes, small, leaves)
+    for t in small:
+        release(t)
+    centres = np.stack([nodes[i].total for i in _leaves(nodes, leaves)])
+    return (centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def _grow(nodes: list[_Node], small: list[DataFrame], leaves: int) -> None:
+    """Grows the tree below the nodes in the tables ``small``, each in a task; one whose share of splits doesn't reach is grown again, to all that there can be."""
+    seen: set[int] = set()
+    while wanted := {(i if nodes[i].group < 0 else nodes[i].group) for i in _leaves(nodes, leaves) if nodes[i].open}:
+        picks = {i: leaves - 1 if i in seen else min(leaves - 1, 4 + math.ceil(2 * leaves * nodes[i].n / nodes[0].n)) for i in wanted}
+        seen |= wanted
+        rows = reduce(DataFrame.union, small).where(F.col("node").isin(sorted(wanted)))
+        for r in rows.groupBy("node").applyInArrow(_grown(picks), "node int, part binary").collect():
+            root, base = r["node"], len(nodes) - 1
+            grown = pickle.loads(bytes(r["part"]))
+            for x in grown:
+                x.kids, x.group = tuple(k + base for k in x.kids), root
+            nodes[root] = grown[0]
+            nodes += grown[1:]
+
+
+def _leaf_terms(centres: np.ndarray):
+    """Counts of features by leaf; a document is at its nearest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(leaves * DIMS, np.int64)
+        out = np.zeros(len(centres) * DIMS, np.int64)
         for b in batches:
             dims, sizes = _flat(b, "dims")
-            key, n = np.unique(np.repeat(b.column("leaf").to_numpy(), sizes).astype(np.int64) * DIMS + dims, return_counts=True)
+            leaf = np.concatenate([np.zeros(0, np.int64), *((p.astype(np.float32) @ centres.T).argmax(1) for p in _parts(_unpacked(b.column("x"))))])
+            key, n = np.unique(np.repeat(leaf, sizes) * DIMS + dims, return_counts=True)
             out[key] += n
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["term", "n"])
@@ -308,11 +580,9 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     idf = np.zeros(DIMS, np.float32)
     for d, k in counted.items():
         idf[d] = np.log(n / k)
-    draw = F.xxhash64("doc_id", F.lit(SEED))
-    some = tokens.where(F.pmod(draw, F.lit(1 << 32)) < int((1 << 32) * min(1.0, 1.1 * SAMPLE / n))).select("dims", draw.alias("h"), "doc_id").orderBy("h", "doc_id").limit(SAMPLE)
-    centres = np.array([r["centre"] for r in some.select("dims").mapInArrow(_fitted(idf, leaves), "leaf int, centre array<float>").orderBy("leaf").collect()], dtype=np.float32)
-    placed = materialize(tokens.mapInArrow(_placed(idf, centres), f"{_TOKENS_DDL}, leaf int"), "placed")
+    placed = materialize(tokens.mapInArrow(_vectored(idf), f"{_TOKENS_DDL}, x binary"), "placed")
     release(tokens)
+    centres = fitted(placed, leaves)
 
     names, leaves = [a for a, _ in areas], len(centres)
     index = spark.createDataFrame([(a.lower(), i) for i, a in enumerate(names)], "s string, area int")
@@ -321,7 +591,7 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     notes = np.zeros((DIMS, len(names)))
     for i, (name, note) in enumerate(areas):
         notes[features(f"{name} {note}".lower()), i] = 1
-    terms = placed.select("leaf", "dims").coalesce(COUNTING).mapInArrow(_leaf_terms(leaves), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    terms = placed.select("x", "dims").coalesce(COUNTING).mapInArrow(_leaf_terms(centres), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     per_leaf = np.zeros(leaves * DIMS)
     per_leaf[terms.column("term").to_numpy()] = terms.column("n").to_numpy()
     per_leaf = per_leaf.reshape(leaves, DIMS)

@@ -470,6 +470,39 @@ def test_subjects_of_other_scripts(spark):
     assert rows(subjects.document_subjects(d, lab, sub), "doc_id", "subject") == {(i, "law") for i in range(30)} | {(100 + i, "science") for i in range(30)}
 
 
+def test_tree_of_subjects_is_fitted_on_all_documents(spark, monkeypatch):
+    """Nine areas, one of them rare: a draw of six documents would miss three at least. No task may hold more than 60."""
+    monkeypatch.setattr(subjects, "SAMPLE", 6, raising=False)
+    monkeypatch.setattr(subjects, "HELD", 60, raising=False)
+    rng = random.Random(4)
+    names = ["metal", "optic", "legal", "tidal", "rural", "nasal", "focal", "renal", "seldom"]
+    vocab = {s: [f"{s}{c}{d}word" for c in "abcdefgh" for d in "xyz"] for s in names}
+    area = {i: "seldom" if i % 60 == 30 else names[i % 8] for i in range(600)}
+    d = spark.createDataFrame([(i, ". ".join(" ".join(rng.sample(vocab[s], 6)) for _ in range(4)) + ".") for i, s in area.items()], "doc_id long, text string").repartition(5)
+    lab = spark.createDataFrame([(i, s) for i, s in area.items() if i % 7 == 0 or i == 30], "doc_id long, subject string")
+    sub = spark.createDataFrame([(s, s[::-1], "note") for s in vocab], "subject string, title string, note string")
+    got, truth = rows(subjects.document_subjects(d, lab, sub), "doc_id", "subject"), set(area.items())
+    assert got >= truth and len(got) < 1.01 * len(truth)
+
+
+def test_tree_of_subjects_is_the_same_in_one_task_and_in_passes(spark, monkeypatch):
+    """Also where a node's share of splits doesn't reach, as most documents are alike and few lie apart; documents without features don't count."""
+    rng = np.random.default_rng(3)
+    alike = rng.normal(size=subjects.WIDTH) + 0.02 * rng.normal(size=(500, subjects.WIDTH))
+    x = np.concatenate([alike, rng.normal(size=(50, subjects.WIDTH)), rng.normal(size=(8, subjects.WIDTH)).repeat(9, axis=0)])
+    x = np.rint(x / np.linalg.norm(x, axis=1, keepdims=True) * subjects.FINE).astype(np.int16)
+    tree = subjects.bisected(x, 39)
+    leaves = subjects._leaves(tree, 40)
+    assert len(leaves) == 40 and sum(tree[i].n for i in leaves) == len(x)
+    want = np.stack([tree[i].total / np.linalg.norm(tree[i].total) for i in leaves]).astype(np.float32)
+    v = spark.createDataFrame([(r.tobytes(),) for r in rng.permutation(np.concatenate([x, 0 * x[:20]]))], "x binary").repartition(6)
+    for held, gathered in ((50_000, 16), (60, 16), (60, 1), (3, 16)):
+        monkeypatch.setattr(subjects, "HELD", held)
+        monkeypatch.setattr(subjects, "GATHERED", gathered)
+        assert np.array_equal(subjects.fitted(v, 40), want)
+    assert not subjects.fitted(v.where("x = cast(repeat('\0', 384) as binary)"), 40).any() and len(subjects.fitted(v.limit(0), 40)) == 1
+
+
 def test_overlap_classes_count_what_pairs_list(spark, sf):
     from tessella.llm.units import distinct_units
 
